@@ -88,13 +88,10 @@ def _is_null_at(record: Column, path: str) -> Column:
     return F.coalesce(F.is_variant_null(_at(record, path, "variant")), F.lit(False))
 
 
-def _through_null(record: Column, path: str) -> Column:
-    """Is the record itself, or a step before the last, an explicit null?"""
+def _steps_before(path: str) -> list[str]:
+    """The record itself and every step before the last: ``a.b.c`` → "", a, a.b."""
     steps = path.split(".") if path else []
-    broken = _is_null_at(record, "") if steps else F.lit(False)
-    for i in range(1, len(steps)):
-        broken = broken | _is_null_at(record, ".".join(steps[:i]))
-    return broken
+    return [".".join(steps[:i]) for i in range(len(steps))]
 
 
 def _array(record: Column, path: str) -> Column:
@@ -110,20 +107,33 @@ def value(field, record: Column) -> Column:
     return F.struct(*[value(f, record).alias(name) for name, f in field.items()])
 
 
-def problem(field, record: Column, name: str) -> Column:
-    """Why the strict mode rejects this record; null where it does not."""
-    if isinstance(field, Leaf):
-        reason = F.when(_through_null(record, field.path), F.lit(f"{name}: null on path"))
-        if field.kind != "text":
-            reason = reason.when(value(field, record).isNull(), F.lit(f"{name}: no {field.kind}"))
-        return reason
-    if isinstance(field, Items):
-        items = _array(record, field.path)
-        inner = F.get(F.filter(F.transform(items, lambda x: problem(field.each, x, name)),
-                               lambda r: r.isNotNull()), F.lit(0))
-        return F.when(items.isNull(), F.lit(f"{name}: no list")).otherwise(inner)
-    return F.coalesce(*[problem(f, record, f"{name}.{key}" if name else key)
-                        for key, f in field.items()])
+def problem(field, record: Column, name: str) -> Column | None:
+    """Why the strict mode rejects this record; null where it does not.
+
+    ``None`` if no record can be rejected. A path must not lead through an
+    explicit null; each such step is looked at once for all fields of a struct.
+    """
+    fields = field if isinstance(field, Mapping) else {"": field}
+    steps = dict.fromkeys(s for f in fields.values() for s in _steps_before(f.path))
+    reasons = [F.when(_is_null_at(record, s), F.lit(f"{name}: null at {s or 'record'}"))
+               for s in steps]
+    for key, f in fields.items():
+        label = ".".join(part for part in (name, key) if part)
+        if isinstance(f, Items):
+            reasons.append(_list_problem(f, record, label))
+        elif f.kind != "text":
+            reasons.append(F.when(value(f, record).isNull(), F.lit(f"{label}: no {f.kind}")))
+    return F.coalesce(*reasons) if reasons else None
+
+
+def _list_problem(field: Items, record: Column, name: str) -> Column:
+    items = _array(record, field.path)
+    missing = F.when(items.isNull(), F.lit(f"{name}: no list"))
+    if problem(field.each, record, name) is None:
+        return missing
+    inner = F.filter(F.transform(items, lambda x: problem(field.each, x, name)),
+                     lambda reason: reason.isNotNull())
+    return F.coalesce(missing, F.get(inner, F.lit(0)))
 
 
 def extract(lines: DataFrame, spec: Spec, column: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -131,10 +141,14 @@ def extract(lines: DataFrame, spec: Spec, column: str = "value") -> tuple[DataFr
 
     Both are lazy; they share the scan of ``lines`` and nothing else.
     """
-    parsed = lines.withColumn("_record", F.try_parse_json(F.trim(F.col(column))))
+    # A generator over one value: the optimizer copies a projected expression to
+    # every place that uses it, and each copy would parse the line again.
+    parsed = lines.select(F.col(column), F.explode(F.array(
+        F.try_parse_json(F.trim(F.col(column))))).alias("_record"))
     record = F.col("_record")
-    checked = parsed.withColumn(
-        "reason", F.when(record.isNull(), F.lit("malformed")).otherwise(problem(spec, record, "")))
+    reason = F.when(record.isNull(), F.lit("malformed"))
+    broken = problem(spec, record, "")
+    checked = parsed.withColumn("reason", reason if broken is None else reason.otherwise(broken))
     good = checked.filter(F.col("reason").isNull()).select(
         *[value(f, record).alias(name) for name, f in spec.items()])
     rejects = checked.filter(F.col("reason").isNotNull()).select(F.col(column), F.col("reason"))

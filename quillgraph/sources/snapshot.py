@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +36,13 @@ def read_lines(spark: SparkSession, source: str | list[str], pattern: str = "*.g
             .option("pathGlobFilter", pattern).text(source))
 
 
-def compact_work(raw: DataFrame, *, strip: Callable[[Column, str], Column] = strip_prefix,
+def compact_work(raw: DataFrame, columns: Iterable[str] | None = None, *,
+                 strip: Callable[[Column, str], Column] = strip_prefix,
                  null_doi_as_empty: bool = False) -> DataFrame:
     """Pick, rename and shorten the fields of raw works; one narrow projection.
 
-    Null arrays stay null. ``strip=trim_prefix_legacy`` gives the older ids.
+    Null arrays stay null. ``columns`` names the compact columns wanted, all by
+    default. ``strip=trim_prefix_legacy`` gives the older ids.
     """
     def short(c: Column) -> Column:
         return strip(c, ID_PREFIX)
@@ -55,39 +57,55 @@ def compact_work(raw: DataFrame, *, strip: Callable[[Column, str], Column] = str
         return reshape(author.getField("institutions"), id=id_at("id"),
                        name=at("display_name"), country=at("country_code"))
 
-    doi = strip(F.col("doi"), DOI_PREFIX)
-    topic = F.col("primary_topic")
-    columns = {
-        "id": short(F.col("id")),
-        "doi": null_to_empty(doi) if null_doi_as_empty else doi,
-        "title": F.col("title"),
-        "publication_date": F.col("publication_date"),
-        "country_codes": F.col("country_codes"),
-        "authors": reshape(F.col("authorships"), id=id_at("author.id"),
-                           name=at("author.display_name"), institutions=institutions),
-        "concepts": reshape(F.col("concepts"), id=id_at("id"), name=at("display_name"),
-                            score=at("score")),
-        "topics": reshape(F.col("topics"), id=id_at("id"), name=at("display_name"),
-                          domain=at("domain.display_name"), field=at("field.display_name")),
-        "primary_topic": F.struct(
-            path(topic, "display_name").alias("name"),
-            path(topic, "domain.display_name").alias("domain"),
-            path(topic, "field.display_name").alias("field")),
-        "referenced_works": strip_each(F.col("referenced_works"), short),
-        "related_works": strip_each(F.col("related_works"), short),
-        "keywords": pluck(F.col("keywords"), "display_name"),
-        "citations": reshape(F.col("counts_by_year"), year=at("year"),
-                             count=at("cited_by_count")),
+    def doi() -> Column:
+        bare = strip(F.col("doi"), DOI_PREFIX)
+        return null_to_empty(bare) if null_doi_as_empty else bare
+
+    def same(name: str) -> Callable[[], Column]:
+        return lambda: F.col(name)
+
+    def topic() -> Column:
+        main = F.col("primary_topic")
+        return F.struct(path(main, "display_name").alias("name"),
+                        path(main, "domain.display_name").alias("domain"),
+                        path(main, "field.display_name").alias("field"))
+
+    makers: dict[str, Callable[[], Column]] = {
+        "id": lambda: short(F.col("id")),
+        "doi": doi,
+        "title": same("title"),
+        "publication_date": same("publication_date"),
+        "country_codes": same("country_codes"),
+        "authors": lambda: reshape(
+            F.col("authorships"), id=id_at("author.id"), name=at("author.display_name"),
+            institutions=institutions),
+        "concepts": lambda: reshape(
+            F.col("concepts"), id=id_at("id"), name=at("display_name"), score=at("score")),
+        "topics": lambda: reshape(
+            F.col("topics"), id=id_at("id"), name=at("display_name"),
+            domain=at("domain.display_name"), field=at("field.display_name")),
+        "primary_topic": topic,
+        "referenced_works": lambda: strip_each(F.col("referenced_works"), short),
+        "related_works": lambda: strip_each(F.col("related_works"), short),
+        "keywords": lambda: pluck(F.col("keywords"), "display_name"),
+        "citations": lambda: reshape(
+            F.col("counts_by_year"), year=at("year"), count=at("cited_by_count")),
     }
-    return raw.select(*[c.alias(name) for name, c in columns.items()])
+    wanted = makers if columns is None else [c for c in makers if c in set(columns)]
+    return raw.select(*[makers[name]().alias(name) for name in wanted])
 
 
 def add_flat_columns(works: DataFrame, concept_score: float = 0.5) -> DataFrame:
     """``primary_topic_flat`` (the topic's field) and ``high_concepts_flat``
-    (names of concepts scoring at least ``concept_score``). Our definitions."""
-    high = F.filter(F.col("concepts"), lambda c: c.getField("score") >= concept_score)
-    return (works.withColumn("primary_topic_flat", F.col("primary_topic.field"))
-            .withColumn("high_concepts_flat", F.array_join(high.getField("name"), ", ")))
+    (names of concepts scoring at least ``concept_score``). Our definitions;
+    each is added where its source column is there."""
+    added = {}
+    if "primary_topic" in works.columns:
+        added["primary_topic_flat"] = F.col("primary_topic.field")
+    if "concepts" in works.columns:
+        high = F.filter(F.col("concepts"), lambda c: c.getField("score") >= concept_score)
+        added["high_concepts_flat"] = F.array_join(high.getField("name"), ", ")
+    return works.withColumns(added) if added else works
 
 
 def extract_strict(lines: DataFrame, spec: Spec = WORK_SPEC) -> tuple[DataFrame, DataFrame]:

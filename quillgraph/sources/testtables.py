@@ -10,6 +10,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.columns import DOI_PREFIX, ID_PREFIX
 from quillgraph.operators.graph import TEAM_SIZE
@@ -20,6 +21,10 @@ from quillgraph.sources.snapshot import add_flat_columns, compact_work
 DOI_STEM = "10.1000/"
 
 
+# Schemas already read from a table's footer; saves one small job per use.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
     """Test tables of one scale factor, read lazily."""
 
@@ -29,7 +34,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def mentions(t: Tables) -> DataFrame:
@@ -164,8 +172,8 @@ def raw_works(t: Tables, columns: Iterable[str] | None = None) -> DataFrame:
 
     The lines of an order are put in one row because one row is what a record
     of the source format is; real snapshots arrive so. Orders without lines
-    have null lists. Lists not named in ``columns`` stay null, and the tables
-    only they need are not read.
+    have null lists. Lists not named in ``columns`` are left out, and so are the
+    tables only they need.
     """
     wanted = set(_NESTED if columns is None else columns) & set(_NESTED)
     fields = {"l_linenumber", "l_partkey", "l_suppkey"}.union(*(_NESTED[c][0] for c in wanted))
@@ -183,10 +191,17 @@ def raw_works(t: Tables, columns: Iterable[str] | None = None) -> DataFrame:
     }
     joined = t.orders.join(nested, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     made = {**scalars, **{c: _NESTED[c][1](e) for c in wanted}}
-    return joined.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
-                           for f in RAW_WORK.fields])
+    return joined.select(*[made[f.name].cast(f.dataType).alias(f.name)
+                           for f in RAW_WORK.fields if f.name in made])
+
+
+# Raw column behind each nested compact column.
+_RAW_OF = {"authors": "authorships", "citations": "counts_by_year"}
 
 
 def works(t: Tables, columns: Iterable[str] | None = None) -> DataFrame:
-    """Compact works with the flat helper columns."""
-    return add_flat_columns(compact_work(raw_works(t, columns)))
+    """Compact works (``id`` and the given columns) with the flat helper columns."""
+    if columns is None:
+        return add_flat_columns(compact_work(raw_works(t)))
+    raw = raw_works(t, [_RAW_OF.get(c, c) for c in columns])
+    return add_flat_columns(compact_work(raw, ["id", *columns]))
