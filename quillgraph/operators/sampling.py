@@ -64,14 +64,19 @@ def random_negatives(positives: DataFrame, nodes: Column | int, k: int = 1,
     ``nodes`` is the number of nodes, indexed from 0. Rows ``(pos_src,
     pos_dst, draw, src, dst)``.
     """
-    count = nodes if isinstance(nodes, Column) else F.lit(nodes)
-    drawn = positives.select(F.col("src").alias("pos_src"), F.col("dst").alias("pos_dst"),
-                             F.explode(F.sequence(F.lit(1), F.lit(k))).alias("draw"))
-    keys = (F.col("pos_src"), F.col("pos_dst"), F.col("draw"))
-    return drawn.withColumns({
-        "src": F.pmod(uniform32(salt + "-src", *keys), count),
-        "dst": F.pmod(uniform32(salt + "-dst", *keys), count),
-    })
+    keys = (F.col("pos_src"), F.col("pos_dst"))
+    edges = positives.select(F.col("src").alias("pos_src"), F.col("dst").alias("pos_dst"),
+                             (nodes if isinstance(nodes, Column) else F.lit(nodes)).alias("_n"))
+
+    def end(which: str, draw: Column) -> Column:
+        return F.pmod(uniform32(f"{salt}-{which}", *keys, draw), F.col("_n"))
+
+    # Drawn inside the generator: later filters and projections then use the
+    # numbers instead of computing the digests again.
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda draw: F.struct(
+        draw.alias("draw"), end("src", draw).alias("src"), end("dst", draw).alias("dst")))
+    return (edges.select("pos_src", "pos_dst", F.explode(drawn).alias("d"))
+            .select("pos_src", "pos_dst", "d.draw", "d.src", "d.dst"))
 
 
 def corrupt_targets(positives: DataFrame, nodes: Column | int, k: int = 5,

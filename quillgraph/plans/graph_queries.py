@@ -26,13 +26,21 @@ def _undirected(t: Tables) -> DataFrame:
     return graph.undirected_edges(graph.coauthor_pairs(tt.small_teams(t)))
 
 
+def _symmetric(t: Tables) -> DataFrame:
+    return graph.symmetric_edges(graph.coauthor_pairs(tt.small_teams(t)))
+
+
 def _nodes(t: Tables) -> DataFrame:
-    """Every author with a vector: embedding number ``author % embeddings``."""
+    """Every author with a vector: embedding number ``author % embeddings``.
+
+    Kept as a table, as features are between jobs, so that the planner knows its
+    size when it chooses between a broadcast and a shuffle.
+    """
     count = t.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar()
     authors = t.part.select(F.col("p_partkey").alias("node"),
                             F.pmod(F.col("p_partkey"), count).alias("vec_id"))
-    return authors.join(t.embeddings.select("vec_id", F.col("embedding").alias("features")),
-                        "vec_id").select("node", "features")
+    vectors = t.embeddings.select("vec_id", F.col("embedding").alias("features"))
+    return materialize(authors.join(vectors, "vec_id").select("node", "features"), "nodes")
 
 
 def _author_count(t: Tables) -> Column:
@@ -93,7 +101,7 @@ def undirected_edges(t: Tables) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und")
 def symmetric_edges(t: Tables) -> DataFrame:
-    return graph.symmetric_edges(graph.coauthor_pairs(tt.small_teams(t)))
+    return _symmetric(t)
 
 
 @query(f"""WITH {EDGES} SELECT author, work FROM edges
@@ -153,7 +161,7 @@ def ranking_negatives(t: Tables) -> DataFrame:
 SELECT src, dst FROM p WHERE NOT EXISTS (
   SELECT 1 FROM und WHERE und.src = p.src AND und.dst = p.dst)""")
 def hard_negatives(t: Tables) -> DataFrame:
-    edges = _undirected(t)
+    edges = materialize(_undirected(t), "edges")
     return sampling.hard_negatives(edges, edges, _author_count(t))
 
 
@@ -169,8 +177,8 @@ SELECT 1 AS hop, src, dst FROM h1 UNION ALL SELECT 2, src, dst FROM h2""")
 def neighbor_sample(t: Tables) -> DataFrame:
     """Sampled surroundings of all authors of one brand."""
     seeds = t.part.filter(F.col("p_brand") == "Brand#1").select(F.col("p_partkey").alias("node"))
-    symmetric = graph.symmetric_edges(graph.coauthor_pairs(tt.small_teams(t)))
-    return sampling.neighbor_sample(symmetric, seeds)
+    # Read once per hop, hence kept as a table.
+    return sampling.neighbor_sample(materialize(_symmetric(t), "edges"), seeds)
 
 
 @query(f"WITH {AUTHOR_IX} SELECT author, author_ix FROM ix")
@@ -297,8 +305,8 @@ c AS (SELECT src, dst, ({DOT.format("a", "b")} / sqrt({DOT.format("a", "a")}
   * {DOT.format("b", "b")}) + 1) / 2 AS score FROM s)
 SELECT src, dst, round(score, 5) AS score, (score > 0.5)::INT AS predicted FROM c""")
 def pair_cosine(t: Tables) -> DataFrame:
-    pairs = linkpred.gather(_undirected(t).select("src", "dst"), _nodes(t))
-    return linkpred.cosine_scores(pairs).withColumn("score", F.round("score", 5))
+    scored = linkpred.cosine_scores(_undirected(t).select("src", "dst"), _nodes(t))
+    return scored.withColumn("score", F.round("score", 5))
 
 
 TARGET = 0
@@ -338,10 +346,6 @@ SELECT x.node, x.pos::INT AS pos, round(greatest(x + coalesce(h, 0), 0), 5) + 0.
 FROM x LEFT JOIN hood ON x.node = hood.node AND x.pos = hood.pos"""
 
 
-def _symmetric(t: Tables) -> DataFrame:
-    return graph.symmetric_edges(graph.coauthor_pairs(tt.small_teams(t)))
-
-
 @query(_layer_sql("avg"))
 def sage_layer(t: Tables) -> DataFrame:
     return _long(linkpred.sage_layer(_symmetric(t), _nodes(t), WIDTH), "node")
@@ -354,7 +358,7 @@ def gin_layer(t: Tables) -> DataFrame:
 
 def _training_pairs(t: Tables) -> DataFrame:
     """Labelled pairs of the whole graph with their split, written once."""
-    edges = _undirected(t).select("src", "dst")
+    edges = materialize(_undirected(t).select("src", "dst"), "edges")
     drawn = sampling.hard_negatives(edges, edges, _author_count(t), 1)
     return materialize(sampling.split_edges(sampling.labelled(edges, drawn)), "pairs")
 
@@ -367,8 +371,9 @@ def link_model_scores(t: Tables) -> DataFrame:
     known = train.select("src", "dst").unionByName(
         train.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     nodes = linkpred.graph_features(known, _nodes(t), WIDTH, 2, materialize)
-    model = linkpred.train_link_model(
-        linkpred.gather(pairs.filter(F.col("split") == "train"), nodes), max_iter=5)
+    training = linkpred.pair_features(
+        linkpred.gather(pairs.filter(F.col("split") == "train"), nodes)).select("x", "label")
+    model = linkpred.train_link_model(materialize(training, "training"), max_iter=5)
     scored = linkpred.apply_link_model(
         model, linkpred.gather(pairs.filter(F.col("split") == "test"), nodes))
     return scored.select("src", "dst", "label", "score")
