@@ -70,3 +70,24 @@ EXTRACTED_WORK = _struct(
     keywords=T.ArrayType(_S),
     citations=T.ArrayType(_struct(year=_I, count=_I)),
 )
+
+
+def narrow(schema: T.StructType, leaves: list[str]) -> T.StructType:
+    """The part of a schema that holds the given dotted leaves.
+
+    Spark prunes one level of array elements by itself; an explicit read schema
+    also prunes arrays inside array elements (``authors.institutions.country``).
+    """
+    def cut(kind: T.DataType, paths: list[str]) -> T.DataType:
+        if "" in paths:
+            return kind
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(cut(kind.elementType, paths), kind.containsNull)
+        kept = {}
+        for p in paths:
+            head, _, rest = p.partition(".")
+            kept.setdefault(head, []).append(rest)
+        return T.StructType([T.StructField(f.name, cut(f.dataType, kept[f.name]), f.nullable)
+                             for f in kind.fields if f.name in kept])
+
+    return cut(schema, leaves)

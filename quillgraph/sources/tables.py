@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.columns import metadata_name, parse_day, rename_columns
+from quillgraph.schemas import COMPACT_WORK, narrow
 
 # Rows per slice of the document collection.
 SLICE_ROWS = 500_000
 
 
-def read_works(spark: SparkSession, *paths: str) -> DataFrame:
-    """Compact works from any number of Parquet paths or globs."""
-    return spark.read.parquet(*paths)
+def read_works(spark: SparkSession, *paths: str, leaves: list[str] | None = None,
+               schema: T.StructType = COMPACT_WORK) -> DataFrame:
+    """Compact works from any number of Parquet paths or globs.
+
+    ``leaves`` names the only fields to read, nested ones by dotted path.
+    """
+    reader = spark.read if leaves is None else spark.read.schema(narrow(schema, leaves))
+    return reader.parquet(*paths)
 
 
 def read_metadata(df: DataFrame, prefix: str = "arxiv_",
