@@ -1,21 +1,27 @@
 """Declarative extraction of typed columns from JSON records.
 
-A spec maps output names to :class:`Leaf` or :class:`Items`. It compiles to
-expressions over one parsed VARIANT, so each line is parsed once and the
-record, its validity and the reason for a rejection come from the same value.
+A spec maps output names to :class:`Leaf` or :class:`Items`. It compiles to a
+parse schema, a projection and a validity test. A line is parsed once under
+that schema. Only a record that does not pass the test, because something is
+missing or null, is looked at again as VARIANT, where a missing key (allowed)
+differs from an explicit null (not allowed), and which gives the reason.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Union
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.columns import (DOI_PREFIX, ID_PREFIX, null_to_empty, strip_each,
                                           strip_prefix, update_field)
+from quillgraph.functions.columns import path as path_in
 
 # Spec type → Spark type and the value shown in an example record.
 _TYPES = {"text": ("string", "string"), "int": ("int", 1), "float": ("float", 0.5)}
@@ -76,44 +82,107 @@ WORK_SPEC: Spec = {
 }
 
 
-def _json_path(path: str) -> str:
-    return f"$.{path}" if path else "$"
+def _insert(tree: dict, path: str, leaf) -> None:
+    """Add ``leaf`` (a type or a subtree) at a dotted path; ``[]`` marks a list."""
+    steps = [p for p in re.sub(r"\[\d+\]", ".[]", path).split(".") if p]
+    for step in steps[:-1]:
+        tree = tree.setdefault(step, {})
+    if isinstance(leaf, dict):
+        tree.setdefault(steps[-1], {}).update(leaf)
+    else:
+        tree.setdefault(steps[-1], leaf)
 
 
-def _at(record: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(record, _json_path(path), kind)
+def _tree(fields: Mapping) -> dict:
+    tree: dict = {}
+    for f in fields.values():
+        _insert(tree, f.path, T.StringType() if isinstance(f, Leaf) else {"[]": _element(f.each)})
+    return tree
 
 
-def _is_null_at(record: Column, path: str) -> Column:
-    return F.coalesce(F.is_variant_null(_at(record, path, "variant")), F.lit(False))
+def _element(each) -> dict | T.DataType:
+    if isinstance(each, Mapping):
+        return _tree(each)
+    if each.path:
+        return _tree({"": each})
+    return T.StringType() if isinstance(each, Leaf) else {"[]": _element(each.each)}
 
 
-def _steps_before(path: str) -> list[str]:
-    """The record itself and every step before the last: ``a.b.c`` → "", a, a.b."""
-    steps = path.split(".") if path else []
-    return [".".join(steps[:i]) for i in range(len(steps))]
+def _type(tree) -> T.DataType:
+    if isinstance(tree, T.DataType):
+        return tree
+    if "[]" in tree:
+        return T.ArrayType(_type(tree["[]"]))
+    return T.StructType([T.StructField(k, _type(v)) for k, v in tree.items()])
 
 
-def _array(record: Column, path: str) -> Column:
-    return _at(record, path, "array<variant>")
+def record_type(spec: Spec) -> T.StructType:
+    """The schema a line is parsed under: the paths of the spec, scalars as text."""
+    return _type(_tree(spec))
 
 
 def value(field, record: Column) -> Column:
-    """The extracted column of one field, list or struct."""
+    """The extracted column of one field, list or struct of a parsed record."""
     if isinstance(field, Leaf):
-        return _at(record, field.path, _TYPES[field.kind][0])
+        text, kind = path_in(record, field.path), _TYPES[field.kind][0]
+        if field.kind == "int":
+            # Whole numbers may be written as 3.0.
+            return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
+        return text.try_cast(kind)
     if isinstance(field, Items):
-        return F.transform(_array(record, field.path), lambda x: value(field.each, x))
+        return F.transform(path_in(record, field.path), lambda x: value(field.each, x))
     return F.struct(*[value(f, record).alias(name) for name, f in field.items()])
 
 
+def _steps_before(path: str) -> list[str]:
+    """The record itself and every step before the last: ``a.b.c`` → "", a, a.b."""
+    steps = path.split(".") if path else []
+    return [".".join(steps[:i]) for i in range(len(steps))]
+
+
+def _fields(field) -> Mapping:
+    return field if isinstance(field, Mapping) else {"": field}
+
+
+def complete(field, record: Column) -> Column | None:
+    """Is every list, number and step of a parsed record there? ``None`` if
+    nothing is required. Such a record is valid; others may be."""
+    fields = _fields(field)
+    steps = dict.fromkeys(s for f in fields.values() for s in _steps_before(f.path))
+    tests = [path_in(record, s).isNotNull() for s in steps]
+    for f in fields.values():
+        if isinstance(f, Items):
+            tests.append(_complete_list(f, path_in(record, f.path)))
+        elif f.kind != "text":
+            tests.append(value(f, record).isNotNull())
+    return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def _complete_list(field: Items, items: Column) -> Column:
+    if complete(field.each, items) is None:
+        return items.isNotNull()
+    return items.isNotNull() & F.forall(items, lambda x: complete(field.each, x))
+
+
+def _at(record: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(record, f"$.{path}" if path else "$", kind)
+
+
+def _is_null_at(record: Column, path: str) -> Column:
+    return F.coalesce(F.is_variant_null(_at(record, path, "variant")), F.lit(False))
+
+
+def _array(record: Column, path: str) -> Column:
+    return _at(record, path, "array<variant>")
+
+
 def problem(field, record: Column, name: str) -> Column | None:
-    """Why the strict mode rejects this record; null where it does not.
+    """Why the strict mode rejects this VARIANT record; null where it does not.
 
     ``None`` if no record can be rejected. A path must not lead through an
     explicit null; each such step is looked at once for all fields of a struct.
     """
-    fields = field if isinstance(field, Mapping) else {"": field}
+    fields = _fields(field)
     steps = dict.fromkeys(s for f in fields.values() for s in _steps_before(f.path))
     reasons = [F.when(_is_null_at(record, s), F.lit(f"{name}: null at {s or 'record'}"))
                for s in steps]
@@ -122,7 +191,8 @@ def problem(field, record: Column, name: str) -> Column | None:
         if isinstance(f, Items):
             reasons.append(_list_problem(f, record, label))
         elif f.kind != "text":
-            reasons.append(F.when(value(f, record).isNull(), F.lit(f"{label}: no {f.kind}")))
+            number = _at(record, f.path, _TYPES[f.kind][0])
+            reasons.append(F.when(number.isNull(), F.lit(f"{label}: no {f.kind}")))
     return F.coalesce(*reasons) if reasons else None
 
 
@@ -136,19 +206,33 @@ def _list_problem(field: Items, record: Column, name: str) -> Column:
     return F.coalesce(missing, F.get(inner, F.lit(0)))
 
 
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def extract(lines: DataFrame, spec: Spec, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON lines → (good records, rejected lines with the reason).
 
     Both are lazy; they share the scan of ``lines`` and nothing else.
     """
+    line = F.trim(F.col(column))
     # A generator over one value: the optimizer copies a projected expression to
     # every place that uses it, and each copy would parse the line again.
     parsed = lines.select(F.col(column), F.explode(F.array(
-        F.try_parse_json(F.trim(F.col(column))))).alias("_record"))
+        F.from_json(line, record_type(spec)))).alias("_record"))
     record = F.col("_record")
-    reason = F.when(record.isNull(), F.lit("malformed"))
-    broken = problem(spec, record, "")
-    checked = parsed.withColumn("reason", reason if broken is None else reason.otherwise(broken))
+
+    def why(parsed_again: Column) -> Column:
+        reason = F.when(parsed_again.isNull(), F.lit("malformed"))
+        broken = problem(spec, parsed_again, "")
+        return reason if broken is None else reason.otherwise(broken)
+
+    passed = complete(spec, record)
+    passed = record.isNotNull() if passed is None else passed & record.isNotNull()
+    reason = F.when(F.coalesce(passed, F.lit(False)), F.lit(None).cast("string")).otherwise(
+        _once(F.try_parse_json(line), why))
+    checked = parsed.withColumn("reason", reason)
     good = checked.filter(F.col("reason").isNull()).select(
         *[value(f, record).alias(name) for name, f in spec.items()])
     rejects = checked.filter(F.col("reason").isNotNull()).select(F.col(column), F.col("reason"))
