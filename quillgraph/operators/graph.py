@@ -105,9 +105,13 @@ def enrich(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str,
 
     Keys are DOI values; bring both sides to one form first (``doi_url``).
     """
-    packed = works.select(F.col(work_key).alias("_key"),
+    packed = works.select(F.col(work_key).alias("_key"), F.lit(0).alias("_piece"),
                           F.struct(*works.columns).alias(name))
-    return papers.join(packed, F.col(paper_key) == F.col("_key"), "left").drop("_key")
+    # Papers without a key match nothing but are kept: spread them over tasks.
+    piece = F.when(F.col(paper_key).isNull(), F.pmod(F.xxhash64(*papers.columns), F.lit(1024)))
+    spread = papers.withColumn("_piece", F.coalesce(piece, F.lit(0)).cast("int"))
+    same = (F.col(paper_key) == F.col("_key")) & (spread["_piece"] == packed["_piece"])
+    return spread.join(packed, same, "left").drop("_key", "_piece")
 
 
 def not_found(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str) -> DataFrame:

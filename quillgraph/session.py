@@ -57,6 +57,10 @@ def object_store_conf(endpoint: str, *, path_style: bool = True, ssl: bool = Tru
     return conf
 
 
+# Temporary folder of each local application that has no folder configured.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
@@ -66,16 +70,33 @@ def work_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(WORK_DIR_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {WORK_DIR_CONF} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="quillgraph-")
-    spark.conf.set(WORK_DIR_CONF, folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="quillgraph-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+# Paths handed out in this process, so that they can be given back.
+_PATHS: list[str] = []
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path below the shared work folder."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def drop_work(spark: SparkSession) -> int:
+    """Delete what this process wrote below the work folder; DataFrames that
+    read it must not be used any more. Returns the number of paths deleted."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    deleted = 0
+    while _PATHS:
+        location = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        deleted += bool(location.getFileSystem(conf).delete(location, True))
+    return deleted
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -88,8 +109,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def partitioned_by(df: DataFrame) -> int:
-    """Shuffle partitions of the session (an upper bound before AQE)."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions.columns import metadata_name, parse_day, rename_columns
+from quillgraph.operators.skew import as_build_side
 from quillgraph.schemas import COMPACT_WORK, narrow
 
 # Rows per slice of the document collection.
@@ -71,12 +72,12 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def lookup_terms(rows: DataFrame, vocabulary: DataFrame, ix: str, term: str = "term",
                  name: str | None = None) -> DataFrame:
-    """Inverse lookup: replace no rows, add the term of each index.
+    """Inverse lookup: add the term of each index, null where there is none.
 
-    Spark broadcasts the vocabulary when it is small enough, else it shuffles.
+    The vocabulary is broadcast when it is small enough, else both sides are sorted.
     """
-    return rows.join(vocabulary.select(F.col("ix").alias(ix), F.col(term).alias(name or term)),
-                     ix, "left")
+    terms = vocabulary.select(F.col("ix").alias(ix), F.col(term).alias(name or term))
+    return rows.join(as_build_side(terms), ix, "left")
 
 
 def title_search(works: DataFrame, text: str, column: str = "title") -> DataFrame:

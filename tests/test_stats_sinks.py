@@ -143,3 +143,29 @@ def test_session_helpers(spark, monkeypatch):
     monkeypatch.delenv("SECRET_KEY")
     assert "spark.hadoop.fs.s3a.access.key" not in Z.object_store_conf("storage.example")
     assert Z.work_dir(spark) == Z.work_dir(spark) and Z.new_path(spark, "a") != Z.new_path(spark, "a")
+
+
+def test_work_folder_is_given_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Z, "_PATHS", [])
+    monkeypatch.setattr(Z, "work_dir", lambda _: str(tmp_path))
+    assert Z.materialize(spark.range(3), "kept").count() == 3
+    assert list(tmp_path.iterdir()) and Z.drop_work(spark) == 1
+    assert not list(tmp_path.iterdir())
+
+
+class Unset:
+    """A session without the folder setting."""
+
+    def __init__(self, master):
+        self.sparkContext = self
+        self.conf = self
+        self.master, self.applicationId = master, f"app-{master}"
+
+    def get(self, key, default):
+        return default
+
+
+def test_only_local_sessions_get_a_folder_of_their_own():
+    assert Z.work_dir(Unset("local[2]")) == Z.work_dir(Unset("local[2]"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        Z.work_dir(Unset("spark://host:7077"))
