@@ -15,9 +15,14 @@ def digest(salt: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(salt), *[k.cast("string") for k in keys]))
 
 
+def number32(hexadecimal: Column, part: int = 0) -> Column:
+    """The given run of eight hex digits of a digest as BIGINT in [0, 2³²)."""
+    return F.conv(F.substring(hexadecimal, 8 * part + 1, 8), 16, 10).cast("bigint")
+
+
 def uniform32(salt: str, *keys: Column) -> Column:
     """Number in [0, 2³²) as BIGINT."""
-    return F.conv(F.substring(digest(salt, *keys), 1, 8), 16, 10).cast("bigint")
+    return number32(digest(salt, *keys))
 
 
 def below(fraction: float, salt: str, *keys: Column) -> Column:

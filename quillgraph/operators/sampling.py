@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.hashing import below, digest, uniform32
+from quillgraph.functions.hashing import below, digest, number32, uniform32
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -67,14 +67,14 @@ def random_negatives(positives: DataFrame, nodes: Column | int, k: int = 1,
     keys = (F.col("pos_src"), F.col("pos_dst"))
     edges = positives.select(F.col("src").alias("pos_src"), F.col("dst").alias("pos_dst"),
                              (nodes if isinstance(nodes, Column) else F.lit(nodes)).alias("_n"))
-
-    def end(which: str, draw: Column) -> Column:
-        return F.pmod(uniform32(f"{salt}-{which}", *keys, draw), F.col("_n"))
-
-    # Drawn inside the generator: later filters and projections then use the
-    # numbers instead of computing the digests again.
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda draw: F.struct(
-        draw.alias("draw"), end("src", draw).alias("src"), end("dst", draw).alias("dst")))
+    # Drawn inside the generator, one digest per draw: later filters and
+    # projections then use the numbers instead of computing digests again.
+    hashed = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda draw: F.struct(
+        draw.alias("draw"), digest(salt, *keys, draw).alias("h")))
+    drawn = F.transform(hashed, lambda x: F.struct(
+        x.getField("draw").alias("draw"),
+        F.pmod(number32(x.getField("h"), 0), F.col("_n")).alias("src"),
+        F.pmod(number32(x.getField("h"), 1), F.col("_n")).alias("dst")))
     return (edges.select("pos_src", "pos_dst", F.explode(drawn).alias("d"))
             .select("pos_src", "pos_dst", "d.draw", "d.src", "d.dst"))
 

@@ -55,6 +55,6 @@ ix AS (SELECT author, row_number() OVER (ORDER BY work, pos, author) - 1 AS auth
        FROM firsts)"""
 
 
-def hash32(text: str) -> str:
-    """SQL for the first 32 bits of the md5 of a text expression."""
-    return f"('0x' || substr(md5({text}), 1, 8))::BIGINT"
+def hash32(text: str, part: int = 0) -> str:
+    """SQL for 32 bits of the md5 of a text expression: one run of eight digits."""
+    return f"('0x' || substr(md5({text}), {8 * part + 1}, 8))::BIGINT"

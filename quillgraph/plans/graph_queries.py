@@ -134,12 +134,10 @@ def row_split(t: Tables) -> DataFrame:
 
 def _drawn(salt: str, k: int) -> str:
     """SQL for ``k`` random pairs per undirected edge, as CTE ``drawn``."""
-    def end(which: str) -> str:
-        text = f"'{salt}-{which}:' || src || ':' || dst || ':' || draw"
-        return f"{hash32(text)} % (SELECT count(*) FROM part)"
-
+    text = f"'{salt}:' || src || ':' || dst || ':' || draw"
+    nodes = "(SELECT count(*) FROM part)"
     return f"""drawn AS (SELECT src AS pos_src, dst AS pos_dst, draw,
-  {end("src")} AS nsrc, {end("dst")} AS ndst
+  {hash32(text, 0)} % {nodes} AS nsrc, {hash32(text, 1)} % {nodes} AS ndst
   FROM (SELECT src, dst, unnest(range(1, {k + 1}))::INT AS draw FROM und))"""
 
 
@@ -166,7 +164,7 @@ def hard_negatives(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, sym AS (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und),
-seeds AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#1'),
+seeds AS (SELECT p_partkey AS node FROM part),
 r AS (SELECT src, dst,
   row_number() OVER (PARTITION BY src ORDER BY md5('hop1:' || src || ':' || dst), dst) AS r1,
   row_number() OVER (PARTITION BY src ORDER BY md5('hop2:' || src || ':' || dst), dst) AS r2
@@ -175,8 +173,8 @@ h1 AS (SELECT src, dst FROM r WHERE r1 <= 10 AND src IN (SELECT node FROM seeds)
 h2 AS (SELECT src, dst FROM r WHERE r2 <= 10 AND src IN (SELECT dst FROM h1))
 SELECT 1 AS hop, src, dst FROM h1 UNION ALL SELECT 2, src, dst FROM h2""")
 def neighbor_sample(t: Tables) -> DataFrame:
-    """Sampled surroundings of all authors of one brand."""
-    seeds = t.part.filter(F.col("p_brand") == "Brand#1").select(F.col("p_partkey").alias("node"))
+    """Sampled surroundings of every author, two hops."""
+    seeds = t.part.select(F.col("p_partkey").alias("node"))
     # Read once per hop, hence kept as a table.
     return sampling.neighbor_sample(materialize(_symmetric(t), "edges"), seeds)
 
