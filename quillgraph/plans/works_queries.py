@@ -30,7 +30,7 @@ TITLE_WORDS = "der und"
 
 
 def _countries(t: Tables) -> DataFrame:
-    return stats.works_by_country(tt.works(t, ["authors"]))
+    return stats.works_by_country(tt.mention_works(t))
 
 
 def _concepts(t: Tables) -> DataFrame:
@@ -48,7 +48,7 @@ def dataset_size(t: Tables) -> DataFrame:
 
 @query("SELECT count(DISTINCT l_partkey) AS authors FROM lineitem")
 def unique_authors(t: Tables) -> DataFrame:
-    return stats.unique_authors(tt.team_works(t))
+    return stats.unique_authors(tt.mention_works(t, institutions=False))
 
 
 @query("SELECT count(DISTINCT o_orderkey) AS works FROM orders")
@@ -70,7 +70,7 @@ def works_by_country(t: Tables) -> DataFrame:
 @query("""SELECT n_name AS country, count(DISTINCT l_orderkey) AS works FROM lineitem
   JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def distinct_works_by_country(t: Tables) -> DataFrame:
-    return stats.works_by_country(tt.works(t, ["authors"]), distinct_works=True)
+    return stats.works_by_country(tt.mention_works(t), distinct_works=True)
 
 
 @query(f"WITH {CONCEPT} SELECT concept, works FROM c")

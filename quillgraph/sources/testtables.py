@@ -88,6 +88,21 @@ def lines(t: Tables, fields: Iterable[str]) -> DataFrame:
     return rows.select("l_orderkey", *fields)
 
 
+def mention_works(t: Tables, institutions: bool = True) -> DataFrame:
+    """Compact works with one authorship each, so an order is several rows.
+
+    For counts over authorships or distinct ids, which do not depend on how the
+    lines of an order are split into rows. Nothing is grouped.
+    """
+    fields = [F.col("l_partkey").alias("id")]
+    if institutions:
+        fields.append(F.array(F.struct(
+            F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"),
+            F.col("n_name").alias("country"))).alias("institutions"))
+    rows = lines(t, ["l_partkey", *(["l_suppkey", "s_name", "n_name"] if institutions else [])])
+    return rows.select(F.col("l_orderkey").alias("id"), F.array(F.struct(*fields)).alias("authors"))
+
+
 def _ident(kind: str, c: Column) -> Column:
     return F.concat(F.lit(ID_PREFIX + kind), c.cast("string"))
 

@@ -10,7 +10,7 @@ from quillgraph.functions import hashing
 @pytest.fixture(scope="module")
 def ids(spark):
     return spark.createDataFrame(
-        [("https://openalex.org/A5",), ("A5",), (None,), ("https://openalex.org/",)], "id string")
+        [(C.ID_PREFIX + "A5",), ("A5",), (None,), (C.ID_PREFIX,)], "id string")
 
 
 def test_strip_prefix_removes_all_of_it(ids, rows):

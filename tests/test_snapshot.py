@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import spec as S
-from quillgraph.functions.columns import trim_prefix_legacy
+from quillgraph.functions.columns import ID_PREFIX, trim_prefix_legacy
 from quillgraph.schemas import COMPACT_WORK, EXTRACTED_WORK, RAW_WORK
 from quillgraph.sources import snapshot
 from quillgraph.streaming.ingest import ingest_new
 
-P = "https://openalex.org/"
+P = ID_PREFIX
 
 
 def author(n, name="N", inst=()):
