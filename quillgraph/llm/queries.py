@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import exact
+from quillgraph.llm import exact, rules
 from quillgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,37 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept",
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@_query("op9_quality_rules", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     s AS (SELECT doc_id, t,
+                  list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                  list_filter(string_split(t, chr(10)),
+                              lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+           FROM d),
+     k AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM s WHERE len(w) >= 5),
+     g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM k),
+     r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+     c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words
+           FROM r, (SELECT unnest(range(0, 5)) AS o) GROUP BY doc_id),
+     m AS (SELECT s.doc_id, len(w) AS n_words,
+                  length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                  len(l) - len(list_distinct(l)) AS n_dup_lines,
+                  coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+                  len(list_filter(list_zip(w, w[2:]), lambda x: x[1] = x[2])) AS n_repeats,
+                  length(regexp_replace(t, '[^!]+', '', 'g')) AS n_shouts,
+                  length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS n_upper,
+                  length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters
+           FROM s LEFT JOIN c USING (doc_id)),
+     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 25 * n_words OR 100 * n_upper > 50 * n_letters
+            OR 100 * n_shouts > 50 * n_words OR 100 * n_repeats > 30 * n_words
+            OR 100 * n_dup_lines > 50 * n_lines) AS kept
+FROM b""")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
