@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, exact, html, packing, rules
+from quillgraph.llm import bpe, exact, html, lines, packing, rules
 from quillgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,27 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op2_html_extraction")
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op10_line_dedup", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     s AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d),
+     u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS k FROM s),
+     o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k)
+                     - length(line) - 1 AS pos,
+                  lower(array_to_string(list_filter(regexp_split_to_array(
+                      line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ')) AS norm
+           FROM u),
+     r AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) >= 9
+                     AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone
+           FROM o)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256,
+       coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(line) AS BIGINT), ','
+                           ORDER BY k) FILTER (gone), '') AS spans
+FROM r GROUP BY doc_id""")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    span = lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
+    return lines.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"),
+        F.concat_ws(",", F.transform("spans", span)).alias("spans"))
