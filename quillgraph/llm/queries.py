@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, exact, html, lines, packing, rules, toxicity
+from quillgraph.llm import bpe, exact, html, lines, packing, pii, rules, toxicity
 from quillgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind))
+    return pii.detect(table(spark, sf_dir, "documents")).select(
+        "doc_id", *(count(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
