@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillgraph.llm.bpe import Cache
+from quillgraph.llm.bpe import BatchCache
 from quillgraph.llm.common import id_and_text, small_batches
 from quillgraph.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 # --- ids of the tokenizers library, with caches by word --------------------------------
@@ -55,19 +55,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.special = [t["content"] for t in _added_tokens(path)]
-        self.pieces = Cache(self._library)
-        self.words = Cache(self._word)
-
-    def _library(self, word: str) -> bytes:
-        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if self._PLAIN.match(word) and not any(s in word for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, self._PIECES.findall(word.lower())))
-        return self._library(word)
+        self.pieces = BatchCache(self._together)
+        self.words = BatchCache(self._words)
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: one call of the library for many, with a space between."""
+        out: list[bytes] = []
+        for low in range(0, len(pieces), 10_000):
+            part = pieces[low:low + 10_000]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(part)), "right") * 4
+            out += [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain = [bool(self._PLAIN.match(w)) and not any(s in w for s in self.special)
+                 for w in words]
+        cut = [self._PIECES.findall(w.lower()) if p else () for w, p in zip(words, plain, strict=True)]
+        self.pieces.need({x for pieces in cut for x in pieces})
+        return [b"".join(map(self.pieces.__getitem__, pieces)) if p else np.array(
+            self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            for w, p, pieces in zip(words, plain, cut, strict=True)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [self._CUT.split(text) for text in texts]
+        self.words.need(set().union(*cut))
+        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self._CUT.split(text)))
+        return self.encode_all([text])[0]
 
 
 def _added_tokens(path: str) -> list[dict]:
@@ -96,9 +113,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY,
         seen = np.zeros(capacity + 1, np.int64)
         for batch in small_batches(batches, BATCH_BYTES):
             rows: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(),
-                                    strict=True):
-                ids = own.encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(),
+                                   own.encode_all(batch["text"].to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     length = len(part) // 4
