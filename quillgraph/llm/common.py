@@ -46,16 +46,16 @@ def buckets_for(rows: int, per_bucket: int) -> int:
 
 # --- texts of Arrow batches as bytes -------------------------------------------------
 
-def utf8_views(column: pa.Array | pa.ChunkedArray) -> Iterator[memoryview]:
-    """The UTF-8 bytes of each text, without copies; nulls are empty."""
-    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        wide = chunk.cast(pa.large_string()) if chunk.type != pa.large_string() else chunk
-        _, offsets, data = wide.buffers()
-        ends = np.frombuffer(offsets, np.int64)[wide.offset:wide.offset + len(wide) + 1]
-        view = memoryview(data) if data is not None else memoryview(b"")
-        valid = wide.is_valid().to_numpy(zero_copy_only=False)
-        for i in range(len(wide)):
-            yield view[ends[i]:ends[i + 1]] if valid[i] else memoryview(b"")
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row (uint8) and where each begins, with the
+    end. Nulls are empty."""
+    wide = column.cast(pa.large_string())
+    if wide.null_count:
+        wide = wide.fill_null("")
+    _, offsets, data = wide.buffers()
+    ends = np.frombuffer(offsets, np.int64)[wide.offset:wide.offset + len(wide) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None and len(data) else np.zeros(0, np.uint8)
+    return whole[ends[0]:ends[-1]], ends - ends[0]
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int,

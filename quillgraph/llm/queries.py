@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, exact, html, lines, packing, pii, rules, toxicity
+from quillgraph.llm import bpe, exact, html, lines, minhash, packing, pii, rules, toxicity
 from quillgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents")).select(
         "doc_id", *(count(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
+@_query("op6_minhash_near_dedup")
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group(table(spark, sf_dir, "documents"))
