@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import bpe, exact, html, lines, minhash, packing, pii, rules, toxicity
+from quillgraph.llm import (
+    bpe, exact, html, lines, minhash, packing, pii, rules, substrings, toxicity)
 from quillgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +135,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_suffix_array_dedup")
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
