@@ -1,24 +1,50 @@
 """From raw documents to packed sequences: the stages of the corpus pipeline.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a
-stage returns as Parquet to the shared work folder and rereads it for the next one.
+stage returns as Parquet to the shared work folder and rereads it for the next one. All
+but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import exact
+from quillgraph.llm import exact, minhash, packing, pii, rules
+from quillgraph.llm.queries import TOKENIZERS
 from quillgraph.session import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return rules.passing(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact.unique_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five words, 0.8)."""
+    return minhash.one_of_each(docs)
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind; no document goes."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their place in sequences of 2048 tokens."""
+    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("redact_pii", redact_pii),
+    ("pack", pack),
 ]
 
 # Tokenisation and the fitted models of the stages can't be written as SQL.
@@ -26,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over all ``documents``; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

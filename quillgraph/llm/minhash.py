@@ -1,6 +1,6 @@
 """Near-duplicates: SuperMinHash signatures, banding, verification, union-find grouping.
 
-1. A document's set is its distinct 3-word shingles (64-bit hashes). Its signature is a
+1. A document's set is its distinct word shingles (64-bit hashes). Its signature is a
    SuperMinHash: in round j each element goes to the j-th place of its own permutation of
    the slots with rank j plus a random fraction; a slot keeps the lowest. Rounds end as
    soon as no later one can change a slot. Equal sets collapse to one representative.
@@ -19,20 +19,16 @@ split, and a large bucket is cut into blocks whose pairs are spread over tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import PrefixHash, flat_bytes, id_and_text, mix, small_batches
+from quillgraph.llm.common import PrefixHash, flat_bytes, id_and_text, mix, small_batches, without
 from quillgraph.session import materialize
 
-SHINGLE = 3
-PERCENT = 85
-# A pair at the threshold shares one of the bands with probability 1 - 8e-7.
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
 BATCH_BYTES = 2 << 20
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 4_000_000
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -41,9 +37,27 @@ _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90),
 _C1, _C2, _C3 = (np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
+@dataclass(frozen=True)
+class Near:
+    """What counts as near: shingles of ``words``, an intersection of at least
+    ``percent`` of the union. A pair at the threshold shares one of ``bands`` of
+    ``rows`` slots with probability 1 - 5e-8 by default."""
+    words: int = 5
+    percent: int = 80
+    bands: int = 32
+    rows: int = 4
+
+    @property
+    def slots(self) -> int:
+        return self.bands * self.rows
+
+    def linked(self, common: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return 100 * common >= self.percent * (left + right - common)
+
+
 # --- sets and signatures -------------------------------------------------------------------
 
-def shingle_sets(data: np.ndarray, begins: np.ndarray, words: int = SHINGLE
+def shingle_sets(data: np.ndarray, begins: np.ndarray, words: int
                  ) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of texts given as bytes in a row, sorted by text and hash,
     and each text's count. Texts with fewer words than a shingle have one, of all words;
@@ -80,7 +94,7 @@ def shingle_sets(data: np.ndarray, begins: np.ndarray, words: int = SHINGLE
     return value[keep], np.bincount(owner[keep], minlength=texts)
 
 
-def super_minhash(elements: np.ndarray, counts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+def super_minhash(elements: np.ndarray, counts: np.ndarray, slots: int) -> np.ndarray:
     """Signatures (texts x slots, 64-bit: round in the top byte, then the fraction) of
     sets given in a row. Empty sets have the highest value in all slots."""
     texts = len(counts)
@@ -114,18 +128,18 @@ def super_minhash(elements: np.ndarray, counts: np.ndarray, slots: int = SLOTS)
     return table.reshape(texts, slots)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, near: Near) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128 bits that identify the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, BATCH_BYTES):
-            elements, counts = shingle_sets(*flat_bytes(batch["text"]))
-            signature = super_minhash(elements, counts)
+            elements, counts = shingle_sets(*flat_bytes(batch["text"]), near.words)
+            signature = super_minhash(elements, counts, near.slots)
             with np.errstate(over="ignore"):
-                bands = np.zeros((len(counts), BANDS), np.uint64)
-                for k in range(ROWS):
-                    bands = mix(bands * _C1 + signature[:, k::ROWS])
-                bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _C2)
+                bands = np.zeros((len(counts), near.bands), np.uint64)
+                for k in range(near.rows):
+                    bands = mix(bands * _C1 + signature[:, k::near.rows])
+                bands = mix(bands + np.arange(near.bands, dtype=np.uint64) * _C2)
                 sums = [np.zeros(len(counts), np.uint64) for _ in range(2)]
                 full = np.flatnonzero(counts)
                 starts = (np.cumsum(counts) - counts)[full]
@@ -136,19 +150,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 [batch["doc_id"].cast(pa.int64()), pa.array(counts.astype(np.int64)),
                  *(pa.array(t.view(np.int64)) for t in sums),
                  pa.FixedSizeListArray.from_arrays(
-                     pa.array(bands.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))],
+                     pa.array(bands.reshape(-1).view(np.int64)), near.bands).cast(pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return id_and_text(docs).mapInArrow(
         run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """rep, elements (sorted 64-bit hashes as bytes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, BATCH_BYTES):
-            elements, counts = shingle_sets(*flat_bytes(batch["text"]))
+            elements, counts = shingle_sets(*flat_bytes(batch["text"]), words)
             ends = np.cumsum(counts)
             rows = [elements[e - c:e].tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -160,11 +174,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 # --- links -----------------------------------------------------------------------------------
 
-def _linked(common: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return 100 * common >= PERCENT * (left + right - common)
-
-
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """pivot, member, linked: ``pairs`` compared on their full sets. A pivot with very
     many members is split by the join."""
     one = sets.select(F.col("rep").alias("member"), F.col("elements").alias("own"))
@@ -177,7 +187,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (own, base))
                 common = np.isin(a, b, assume_unique=True).sum() if len(a) < 64 else \
                     len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                flags.append(bool(_linked(common, len(a), len(b))))
+                flags.append(bool(near.linked(common, len(a), len(b))))
             yield pa.RecordBatch.from_arrays(
                 [batch["pivot"], batch["member"], pa.array(flags, pa.bool_())],
                 names=["pivot", "member", "linked"])
@@ -187,7 +197,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, "pivot long, member long, linked boolean")
 
 
-def block_groups(block: pa.Table) -> pa.Table:
+def block_groups(block: pa.Table, near: Near) -> pa.Table:
     """Connected groups among the documents of one block pair: member, root. Columns:
     rep, side (0, 1, or 2 where both sides are one block), elements."""
     reps = block["rep"].to_numpy()
@@ -219,7 +229,7 @@ def block_groups(block: pa.Table) -> pa.Table:
             parts.append(part)
         common += parts[0] @ parts[1].T
     left, right = sizes[rows[0]][:, None], sizes[rows[1]][None, :]
-    a, b = np.nonzero(_linked(common.astype(np.int64), left, right))
+    a, b = np.nonzero(near.linked(common.astype(np.int64), left, right))
     a, b = rows[0][a], rows[1][b]
     rank = np.argsort(np.argsort(reps, kind="stable"), kind="stable")
     label = rank.copy()
@@ -238,7 +248,7 @@ def block_groups(block: pa.Table) -> pa.Table:
     return pa.table({"member": reps[some], "root": root[some]})
 
 
-def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(members: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     """pivot, member links within buckets (``key``, ``rep``, ``n_shingles``), exactly, in
     blocks of bounded documents and shingles."""
     totals = members.groupBy("key").agg(F.greatest(
@@ -253,10 +263,10 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
                           F.greatest("own", "with").alias("high"), side.alias("side"))
     # A document stands for itself once in the pair of its own block.
     return pairs.join(sets.hint("merge"), "rep").groupBy("key", "low", "high").applyInArrow(
-        block_groups, "member long, root long").select(F.col("root").alias("pivot"), "member")
+        lambda block: block_groups(block, near), "member long, root long").select(F.col("root").alias("pivot"), "member")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
     """Edges pivot, member that connect what is linked among ``reps`` (rep, n_shingles,
     bands)."""
     rows = materialize(reps.select("rep", "n_shingles", F.explode("bands").alias("key")), "near-bands")
@@ -269,9 +279,9 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
         "pivot", F.col("rep").alias("member")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("pivot").alias("doc_id")).union(
         pairs.select(F.col("member").alias("doc_id"))).distinct()
-    sets = materialize(full_sets(docs.join(wanted, "doc_id", "left_semi"))
+    sets = materialize(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), near.words)
                        .dropDuplicates(["rep"]), "near-sets")
-    checked = materialize(confirm(pairs, sets), "near-checked")
+    checked = materialize(confirm(pairs, sets, near), "near-checked")
     # Buckets of three or more that are not resolved; of those with the same members one.
     failed = held.where("size > 2").join(
         checked.where(~F.col("linked")).select("pivot", F.col("member").alias("rep")),
@@ -279,7 +289,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     open_keys = failed.groupBy("pivot", "size", "members").agg(F.min("key").alias("key"))
     members = held.join(open_keys.select("key"), "key", "left_semi") \
         .select("key", "rep", "n_shingles")
-    inner = materialize(block_links(members, sets), "near-blocks")
+    inner = materialize(block_links(members, sets, near), "near-blocks")
     return checked.where("linked").select("pivot", "member").union(inner).distinct()
 
 
@@ -312,25 +322,30 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 # --- the operator --------------------------------------------------------------------------------
 
-def group(docs: DataFrame) -> DataFrame:
+def group(docs: DataFrame, near: Near | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row.
 
-    component_id is the smallest doc_id reachable over links (intersection at least 85 %
-    of the union of the sets); texts with equal sets are linked. Null, empty and blank
+    component_id is the smallest doc_id reachable over links (see ``Near``); texts with equal sets are linked. Null, empty and blank
     texts have an empty set and are linked with nothing. Rows that repeat an id are one
     document; rows without an id are linked with nothing (component_id null, kept).
     """
-    drawn = materialize(sketches(docs), "near-sketches")
+    near = near or Near()
+    drawn = materialize(sketches(docs, near), "near-sketches")
     full = drawn.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     known = materialize(full.select("doc_id", "set_a", "set_b", "n_shingles").join(
         classes.hint("merge"), ["set_a", "set_b"]).select("doc_id", "rep"), "near-classes")
     reps = full.join(known.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi") \
         .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands")
-    roots = components(links(docs, reps))
+    roots = components(links(docs, reps, near))
     found = known.distinct().join(
         roots, F.col("rep") == F.col("member"), "left").select(
         F.col("doc_id").alias("known_id"), F.coalesce("root", "rep").alias("component_id"))
     out = drawn.join(found, F.col("doc_id") == F.col("known_id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, near: Near | None = None) -> DataFrame:
+    """``docs`` with the first document of each group only; all columns stay."""
+    return without(docs, group(docs, near).where(~F.col("kept")))

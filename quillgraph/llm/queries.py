@@ -134,7 +134,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.group(table(spark, sf_dir, "documents"))
+    return minhash.group(table(spark, sf_dir, "documents"),
+                         minhash.Near(words=3, percent=85, bands=24, rows=5))
 
 
 @_query("op3_suffix_array_dedup")
