@@ -67,8 +67,10 @@ def parse_day(c: Column, pattern: str = "yyyy-MM-dd") -> Column:
 
 
 def doi_url(c: Column) -> Column:
-    """Join key: full DOI address, whether or not the value already has it."""
-    return F.concat(F.lit(DOI_PREFIX), F.lower(strip_prefix(c, DOI_PREFIX)))
+    """Join key: full DOI address, whether or not the value already has it. A blank
+    DOI is no key: null."""
+    bare = F.trim(F.lower(strip_prefix(c, DOI_PREFIX)))
+    return F.when(bare != "", F.concat(F.lit(DOI_PREFIX), bare))
 
 
 def last_count(citations: Column) -> Column:

@@ -20,6 +20,12 @@ def number32(hexadecimal: Column, part: int = 0) -> Column:
     return F.conv(F.substring(hexadecimal, 8 * part + 1, 8), 16, 10).cast("bigint")
 
 
+def number60(hexadecimal: Column, part: int = 0) -> Column:
+    """The given run of fifteen hex digits of a digest as BIGINT in [0, 2⁶⁰): wide
+    enough to number the nodes of any graph without bias."""
+    return F.conv(F.substring(hexadecimal, 15 * part + 1, 15), 16, 10).cast("bigint")
+
+
 def uniform32(salt: str, *keys: Column) -> Column:
     """Number in [0, 2³²) as BIGINT."""
     return number32(digest(salt, *keys))

@@ -103,10 +103,13 @@ def enrich(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str,
            name: str = "alex") -> DataFrame:
     """Attach the matching work as struct ``name``, null where there is none.
 
-    Keys are DOI values; bring both sides to one form first (``doi_url``).
+    One row per paper: of several works with one key the smallest (by its columns in
+    order) is attached, chosen with map-side combination. Keys are DOI values; bring
+    both sides to one form first (``doi_url``); null keys match nothing.
     """
-    packed = works.select(F.col(work_key).alias("_key"), F.lit(0).alias("_piece"),
-                          F.struct(*works.columns).alias(name))
+    packed = (works.filter(F.col(work_key).isNotNull()).groupBy(F.col(work_key).alias("_key"))
+              .agg(F.min(F.struct(*works.columns)).alias(name))
+              .withColumn("_piece", F.lit(0)))
     # Papers without a key match nothing but are kept: spread them over tasks.
     piece = F.when(F.col(paper_key).isNull(), F.pmod(F.xxhash64(*papers.columns), F.lit(1024)))
     spread = papers.withColumn("_piece", F.coalesce(piece, F.lit(0)).cast("int"))
@@ -115,9 +118,11 @@ def enrich(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str,
 
 
 def not_found(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str) -> DataFrame:
-    """Papers without a matching work."""
+    """Papers without a matching work. Papers without a key need no join."""
     keys = works.select(F.col(work_key).alias("_key"))
-    return papers.join(keys, F.col(paper_key) == F.col("_key"), "left_anti")
+    keyed = papers.filter(F.col(paper_key).isNotNull())
+    return (keyed.join(keys, F.col(paper_key) == F.col("_key"), "left_anti")
+            .unionByName(papers.filter(F.col(paper_key).isNull())))
 
 
 def coauthor_pairs(team_rows: DataFrame, max_team: int = TEAM_SIZE[1]) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.hashing import below, digest, number32, uniform32
+from quillgraph.functions.hashing import below, digest, number60, uniform32
+from quillgraph.operators.ordering import dense_index
+from quillgraph.operators.skew import as_build_side
+from quillgraph.session import materialize
 
 
 def _cols(names: Sequence[str]) -> list[Column]:
@@ -28,8 +31,7 @@ def sample_rows(df: DataFrame, n: int, keys: Sequence[str], salt: str = "rows")
 def sample_groups(df: DataFrame, n: int, group: str, salt: str = "groups") -> DataFrame:
     """All rows of ``n`` sampled groups."""
     chosen = sample_rows(df.select(group).distinct(), n, [group], salt)
-    # n keys, given by the caller: small enough to broadcast.
-    return df.join(F.broadcast(chosen), group, "left_semi")
+    return df.join(as_build_side(chosen), group, "left_semi")
 
 
 def shuffled(df: DataFrame, keys: Sequence[str], salt: str = "order") -> DataFrame:
@@ -58,23 +60,23 @@ def split_edges(edges: DataFrame, parts: Mapping[str, float] | None = None,
 
 
 def random_negatives(positives: DataFrame, nodes: Column | int, k: int = 1,
-                     salt: str = "neg") -> DataFrame:
+                     salt: str = "neg", first: int = 1) -> DataFrame:
     """``k`` uniform random node pairs per positive edge; may hit real edges.
 
-    ``nodes`` is the number of nodes, indexed from 0. Rows ``(pos_src,
-    pos_dst, draw, src, dst)``.
+    ``nodes`` is the number of nodes, indexed from 0; draws are numbered from
+    ``first``. Rows ``(pos_src, pos_dst, draw, src, dst)``.
     """
     keys = (F.col("pos_src"), F.col("pos_dst"))
     edges = positives.select(F.col("src").alias("pos_src"), F.col("dst").alias("pos_dst"),
                              (nodes if isinstance(nodes, Column) else F.lit(nodes)).alias("_n"))
     # Drawn inside the generator, one digest per draw: later filters and
     # projections then use the numbers instead of computing digests again.
-    hashed = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda draw: F.struct(
+    hashed = F.transform(F.sequence(F.lit(first), F.lit(first + k - 1)), lambda draw: F.struct(
         draw.alias("draw"), digest(salt, *keys, draw).alias("h")))
     drawn = F.transform(hashed, lambda x: F.struct(
         x.getField("draw").alias("draw"),
-        F.pmod(number32(x.getField("h"), 0), F.col("_n")).alias("src"),
-        F.pmod(number32(x.getField("h"), 1), F.col("_n")).alias("dst")))
+        F.pmod(number60(x.getField("h"), 0), F.col("_n")).alias("src"),
+        F.pmod(number60(x.getField("h"), 1), F.col("_n")).alias("dst")))
     return (edges.select("pos_src", "pos_dst", F.explode(drawn).alias("d"))
             .select("pos_src", "pos_dst", "d.draw", "d.src", "d.dst"))
 
@@ -86,17 +88,48 @@ def corrupt_targets(positives: DataFrame, nodes: Column | int, k: int = 5,
             .select(F.col("pos_src").alias("src"), "pos_dst", "draw", "dst"))
 
 
-def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int, k: int = 3,
-                   salt: str = "hard") -> DataFrame:
-    """Distinct unordered pairs ``(src, dst)`` that are neither edges nor self pairs.
+def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int,
+                   ratio: float = 1.0, k: int = 3, salt: str = "hard",
+                   most_rounds: int = 40) -> DataFrame:
+    """``(src, dst, ix)``: exactly ``round(ratio * positives)`` distinct unordered pairs
+    that are neither edges nor self pairs, numbered from 0 in random order.
 
-    ``k`` pairs are drawn per positive. ``edges`` hold each unordered pair with
-    ``src <= dst``, see ``undirected_edges``.
+    A round draws ``k`` pairs per positive; rounds go on until there are enough, and what
+    is too much is cut by a digest of the pair (ranks over ranges, no single task).
+    ``edges`` hold each unordered pair with ``src <= dst``, see ``undirected_edges``.
+    Fails if the graph has too few free pairs to find them in ``most_rounds``.
     """
-    drawn = random_negatives(positives, nodes, k, salt)
-    pairs = (drawn.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-             .filter(F.col("src") != F.col("dst")).distinct())
-    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    wanted = round(ratio * positives.count())
+    found = None
+    for number in range(most_rounds):
+        drawn = random_negatives(positives, nodes, k, salt, first=number * k + 1)
+        pairs = (drawn.select(F.least("src", "dst").alias("src"),
+                              F.greatest("src", "dst").alias("dst"))
+                 .filter(F.col("src") != F.col("dst")))
+        pairs = pairs if found is None else pairs.unionByName(found)
+        free = pairs.distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        found = materialize(free, "negatives")
+        if found.count() >= wanted:
+            order = digest(f"{salt}-order", F.col("src"), F.col("dst"))
+            ranked = dense_index(found.withColumn("_h", order), ["_h", "src", "dst"])
+            return ranked.filter(F.col("ix") < wanted).select("src", "dst", "ix")
+    raise ValueError(f"no {wanted} free pairs found in {most_rounds} rounds")
+
+
+def split_negatives(splits: DataFrame, edges: DataFrame, nodes: Column | int, ratio: float = 1.0,
+                    k: int = 3, salt: str = "hard", name: str = "split") -> DataFrame:
+    """``(src, dst, split)``: for each part of ``split_edges`` exactly
+    ``round(ratio * edges of the part)`` negatives; no pair is in two parts."""
+    sizes = {r[name]: round(ratio * r["n"]) for r in splits.groupBy(name).agg(
+        F.count(F.lit(1)).alias("n")).collect()}  # one row per part
+    total = sum(sizes.values())
+    count = splits.count()
+    drawn = hard_negatives(splits, edges, nodes, total / count if count else 0.0, k, salt)
+    label, bound = F.lit(None).cast("string"), total
+    for part in sorted(sizes, reverse=True):
+        label = F.when(F.col("ix") < bound, part).otherwise(label)
+        bound -= sizes[part]
+    return drawn.select("src", "dst", label.alias(name))
 
 
 def labelled(positives: DataFrame, negatives: DataFrame, label: str = "label") -> DataFrame:

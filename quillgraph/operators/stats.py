@@ -90,8 +90,8 @@ def merge_small(counts: DataFrame, key: str, minimum: int, other: str = "other",
 
 
 def shares(counts: DataFrame, n: str = "works", share: str = "share") -> DataFrame:
-    """Each group's part of the whole; the total is one scalar subquery."""
-    return counts.withColumn(share, F.col(n) / counts.select(F.sum(n)).scalar())
+    """Each group's part of the whole (null if that is zero); one scalar subquery."""
+    return counts.withColumn(share, F.try_divide(F.col(n), counts.select(F.sum(n)).scalar()))
 
 
 def histogram(df: DataFrame, column: str, width: float = 1.0) -> DataFrame:
@@ -118,7 +118,8 @@ def mean_by(df: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def per_capita(papers: DataFrame, population: DataFrame, key: str, per: int = 1000) -> DataFrame:
-    """``works`` per ``per`` persons, largest first; population in ``persons``."""
+    """``works`` per ``per`` persons, largest first; population in ``persons``. Null
+    (and last) where nobody lives."""
     return (papers.join(population, key)
-            .withColumn("papers_per_capita", F.col("works") / F.col("persons") * per)
+            .withColumn("papers_per_capita", F.try_divide("works", "persons") * per)
             .orderBy(F.desc("papers_per_capita"), key))

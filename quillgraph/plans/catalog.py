@@ -40,7 +40,7 @@ small AS (SELECT work FROM m GROUP BY work HAVING count(*) <= 10),
 sm AS (SELECT work, author FROM m WHERE work IN (SELECT work FROM small)),
 pairs AS (SELECT a.work, a.author AS src, b.author AS dst
           FROM sm a JOIN sm b ON a.work = b.work WHERE a.author <> b.author),
-und AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight
+und AS MATERIALIZED (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight
         FROM pairs GROUP BY 1, 2)"""
 SELECTED = MENTIONS + """,
 big AS (SELECT work FROM m GROUP BY work HAVING count(*) > 1),
@@ -55,6 +55,11 @@ ix AS (SELECT author, row_number() OVER (ORDER BY work, pos, author) - 1 AS auth
        FROM firsts)"""
 
 
+def hash60(text: str, part: int = 0) -> str:
+    """SQL for 60 bits of the md5 of a text expression: one run of fifteen digits."""
+    return f"('0x' || substr(md5({text}), {15 * part + 1}, 15))::BIGINT"
+
+
 def hash32(text: str, part: int = 0) -> str:
     """SQL for 32 bits of the md5 of a text expression: one run of eight digits."""
     return f"('0x' || substr(md5({text}), {8 * part + 1}, 8))::BIGINT"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors as V
 from quillgraph.operators import features, graph, linkpred, metrics, sampling
-from quillgraph.plans.catalog import AUTHOR_IX, EDGES, MENTIONS, PAIRS, hash32, query
+from quillgraph.plans.catalog import AUTHOR_IX, EDGES, MENTIONS, PAIRS, hash32, hash60, query
 from quillgraph.session import materialize
 from quillgraph.sources import tables
 from quillgraph.sources import testtables as tt
@@ -47,7 +47,7 @@ def _author_count(t: Tables) -> Column:
     return t.part.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-NODES = """n AS (SELECT p_partkey AS node, embedding AS e FROM part
+NODES = """n AS MATERIALIZED (SELECT p_partkey AS node, embedding AS e FROM part
   JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
 
 
@@ -136,8 +136,8 @@ def _drawn(salt: str, k: int) -> str:
     """SQL for ``k`` random pairs per undirected edge, as CTE ``drawn``."""
     text = f"'{salt}:' || src || ':' || dst || ':' || draw"
     nodes = "(SELECT count(*) FROM part)"
-    return f"""drawn AS (SELECT src AS pos_src, dst AS pos_dst, draw,
-  {hash32(text, 0)} % {nodes} AS nsrc, {hash32(text, 1)} % {nodes} AS ndst
+    return f"""drawn AS MATERIALIZED (SELECT src AS pos_src, dst AS pos_dst, draw,
+  {hash60(text, 0)} % {nodes} AS nsrc, {hash60(text, 1)} % {nodes} AS ndst
   FROM (SELECT src, dst, unnest(range(1, {k + 1}))::INT AS draw FROM und))"""
 
 
@@ -153,24 +153,46 @@ def ranking_negatives(t: Tables) -> DataFrame:
     return sampling.corrupt_targets(_undirected(t), _author_count(t), 5)
 
 
-@query(f"""WITH {PAIRS}, {_drawn("hard", 3)}, p AS (
-  SELECT DISTINCT least(nsrc, ndst) AS src, greatest(nsrc, ndst) AS dst FROM drawn
-  WHERE nsrc <> ndst)
-SELECT src, dst FROM p WHERE NOT EXISTS (
-  SELECT 1 FROM und WHERE und.src = p.src AND und.dst = p.dst)""")
+# Free pairs by the round (of three draws) that finds them first, and as many rounds as
+# give one pair per positive.
+HARD = f"""{_drawn("hard", 24)}, p AS (
+  SELECT least(nsrc, ndst) AS src, greatest(nsrc, ndst) AS dst, min((draw + 2) // 3) AS found
+  FROM drawn WHERE nsrc <> ndst GROUP BY 1, 2),
+free AS MATERIALIZED (SELECT p.* FROM p ANTI JOIN und ON und.src = p.src AND und.dst = p.dst),
+c AS (SELECT found, sum(count(*)) OVER (ORDER BY found) AS n FROM free GROUP BY 1),
+neg AS (SELECT src, dst, row_number() OVER (
+    ORDER BY md5('hard-order:' || src || ':' || dst), src, dst) - 1 AS ix
+  FROM free WHERE found <= (SELECT min(found) FROM c WHERE n >= (SELECT count(*) FROM und)))"""
+
+
+@query(f"""WITH {PAIRS}, {HARD}
+SELECT src, dst FROM neg WHERE ix < (SELECT count(*) FROM und)""")
 def hard_negatives(t: Tables) -> DataFrame:
+    """As many pairs that are no edges as there are edges."""
+    edges = materialize(_undirected(t), "edges")
+    return sampling.hard_negatives(edges, edges, _author_count(t)).select("src", "dst")
+
+
+@query(f"""WITH {PAIRS}, {HARD},
+h AS (SELECT {hash32("'edge:' || src || ':' || dst")} AS h FROM und),
+s AS (SELECT count(*) FILTER (h >= {int(round(0.9 * 2**32))}) AS test,
+  count(*) FILTER (h < {int(round(0.8 * 2**32))}) AS train, count(*) AS n FROM h)
+SELECT src, dst, CASE WHEN ix < test THEN 'test' WHEN ix < test + train THEN 'train'
+  ELSE 'val' END AS split FROM neg, s WHERE ix < n""")
+def split_negatives(t: Tables) -> DataFrame:
+    """As many negatives as positives in each part of the split."""
     edges = materialize(_undirected(t), "edges")
-    return sampling.hard_negatives(edges, edges, _author_count(t))
+    return sampling.split_negatives(sampling.split_edges(edges), edges, _author_count(t))
 
 
 @query(f"""WITH {PAIRS}, sym AS (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und),
 seeds AS (SELECT p_partkey AS node FROM part),
-r AS (SELECT src, dst,
+r AS MATERIALIZED (SELECT src, dst,
   row_number() OVER (PARTITION BY src ORDER BY md5('hop1:' || src || ':' || dst), dst) AS r1,
   row_number() OVER (PARTITION BY src ORDER BY md5('hop2:' || src || ':' || dst), dst) AS r2
   FROM sym),
-h1 AS (SELECT src, dst FROM r WHERE r1 <= 10 AND src IN (SELECT node FROM seeds)),
-h2 AS (SELECT src, dst FROM r WHERE r2 <= 10 AND src IN (SELECT dst FROM h1))
+h1 AS MATERIALIZED (SELECT src, dst FROM r SEMI JOIN seeds ON src = node WHERE r1 <= 10),
+h2 AS (SELECT r.src, r.dst FROM r SEMI JOIN h1 ON r.src = h1.dst WHERE r2 <= 10)
 SELECT 1 AS hop, src, dst FROM h1 UNION ALL SELECT 2, src, dst FROM h2""")
 def neighbor_sample(t: Tables) -> DataFrame:
     """Sampled surroundings of every author, two hops."""
@@ -230,9 +252,12 @@ def load_vocabulary(t: Tables) -> DataFrame:
 
 @query(f"""WITH {AUTHOR_IX}, {VOCABS},
 v AS (SELECT l_partkey AS author, embedding AS e FROM lineitem JOIN embeddings
-  ON vec_id = l_orderkey % (SELECT count(*) FROM embeddings)),
+  ON vec_id = l_orderkey % (SELECT count(*) FROM embeddings)
+  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'
+    AND o_orderstatus = 'O')),
 u AS (SELECT author, unnest(range({WIDTH})) AS pos, unnest(e) AS x FROM v),
-mean AS (SELECT author, pos, avg(x::DOUBLE) AS value FROM u GROUP BY 1, 2),
+mean AS (SELECT author, pos, avg(x::DOUBLE) AS value FROM u GROUP BY 1, 2
+  UNION ALL SELECT author, unnest(range({WIDTH})), 0.0 FROM ix ANTI JOIN v USING (author)),
 fs AS (SELECT DISTINCT l_partkey AS author, ix FROM lineitem JOIN part ON l_partkey = p_partkey
   JOIN fields ON p_brand = term),
 cs AS (SELECT DISTINCT l_partkey AS author, ix FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
@@ -249,7 +274,9 @@ SELECT author_ix, pos::INT AS pos, round(value, 5) + 0.0::DOUBLE AS value
 FROM (SELECT * FROM mean UNION ALL SELECT * FROM hot) JOIN ix USING (author)""")
 def author_features(t: Tables) -> DataFrame:
     count = t.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar()
-    vectors = (t.orders.select(F.col("o_orderkey").alias("work"),
+    # Only some works have a vector, so that some authors have none.
+    some = t.orders.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
+    vectors = (some.select(F.col("o_orderkey").alias("work"),
                                F.pmod(F.col("o_orderkey"), count).alias("vec_id"))
                .join(t.embeddings, "vec_id").select("work", F.col("embedding").alias("vector")))
     fields, countries = _terms(t)
@@ -275,7 +302,7 @@ def _projection() -> np.ndarray:
     return ((7 * inp + 3 * out) % 11 - 5) / 10
 
 
-PROJECTED = f"""pr AS (SELECT node, list_transform(range({OUT}), lambda o: list_sum(list_transform(
+PROJECTED = f"""pr AS MATERIALIZED (SELECT node, list_transform(range({OUT}), lambda o: list_sum(list_transform(
   range({WIDTH}), lambda i: e[i + 1]::DOUBLE * (((7 * i + 3 * o) % 11 - 5) / 10)))) AS x FROM n)"""
 
 
@@ -297,10 +324,11 @@ def project_batch_norm(t: Tables) -> DataFrame:
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
 
-@query(f"""WITH {PAIRS}, {NODES}, s AS (SELECT src, dst, a.e AS a, b.e AS b FROM und
-  JOIN n a ON a.node = src JOIN n b ON b.node = dst),
-c AS (SELECT src, dst, ({DOT.format("a", "b")} / sqrt({DOT.format("a", "a")}
-  * {DOT.format("b", "b")}) + 1) / 2 AS score FROM s)
+@query(f"""WITH {PAIRS}, {NODES}, unit AS MATERIALIZED (SELECT node, list_transform(e, lambda x: x::DOUBLE / len) AS e
+  FROM (SELECT node, e, sqrt({DOT.format("e", "e")}) AS len FROM n)),
+s AS (SELECT src, dst, a.e AS a, b.e AS b FROM und
+  JOIN unit a ON a.node = src JOIN unit b ON b.node = dst),
+c AS (SELECT src, dst, ({DOT.format("a", "b")} + 1) / 2 AS score FROM s)
 SELECT src, dst, round(score, 5) AS score, (score > 0.5)::INT AS predicted FROM c""")
 def pair_cosine(t: Tables) -> DataFrame:
     scored = linkpred.cosine_scores(_undirected(t).select("src", "dst"), _nodes(t))
@@ -357,7 +385,7 @@ def gin_layer(t: Tables) -> DataFrame:
 def _training_pairs(t: Tables) -> DataFrame:
     """Labelled pairs of the whole graph with their split, written once."""
     edges = materialize(_undirected(t).select("src", "dst"), "edges")
-    drawn = sampling.hard_negatives(edges, edges, _author_count(t), 1)
+    drawn = sampling.hard_negatives(edges, edges, _author_count(t))
     return materialize(sampling.split_edges(sampling.labelled(edges, drawn)), "pairs")
 
 

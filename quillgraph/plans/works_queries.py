@@ -247,15 +247,21 @@ def title_search(t: Tables) -> DataFrame:
 
 
 def _papers(t: Tables) -> DataFrame:
-    return t.orders.select(F.col("o_orderkey").alias("paper"), F.concat(
-        F.lit(tt.DOI_STEM), F.col("o_orderkey").cast("string")).alias("arxiv_doi"))
+    """Papers with a DOI; those of filled orders have a blank one."""
+    doi = F.concat(F.lit(tt.DOI_STEM), F.col("o_orderkey").cast("string"))
+    return t.orders.select(F.col("o_orderkey").alias("paper"), F.when(
+        F.col("o_orderstatus") == "F", "").otherwise(doi).alias("arxiv_doi"))
 
 
 def _known_works(t: Tables) -> DataFrame:
-    """Works with at least one author, as a lookup by DOI."""
-    return (t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_authors"))
-            .select(F.concat(F.lit(tt.DOI_STEM), F.col("l_orderkey").cast("string")).alias("doi"),
-                    "n_authors"))
+    """Works with at least one author, as a lookup by DOI: a second work has the DOI of
+    each order with over four lines, and a third has a blank one."""
+    works = (t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_authors"))
+             .select(F.concat(F.lit(tt.DOI_STEM), F.col("l_orderkey").cast("string")).alias("doi"),
+                     "n_authors"))
+    more = works.filter("n_authors > 4")
+    return (works.unionByName(more.withColumn("n_authors", F.col("n_authors") + 100))
+            .unionByName(more.withColumn("doi", F.lit(""))))
 
 
 def _keyed(df: DataFrame, column: str) -> DataFrame:
@@ -263,7 +269,8 @@ def _keyed(df: DataFrame, column: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS paper, '10.1000/' || l_orderkey AS doi, n AS n_authors FROM orders
-LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
+LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+  ON o_orderkey = l_orderkey AND o_orderstatus <> 'F'""")
 def enrich_left(t: Tables) -> DataFrame:
     papers = _keyed(tables.pending(_papers(t)), "arxiv_doi")
     known = _keyed(_known_works(t), "doi").withColumnRenamed("key", "work_key")
@@ -271,8 +278,9 @@ def enrich_left(t: Tables) -> DataFrame:
     return attached.select("paper", "alex.doi", "alex.n_authors")
 
 
-@query("""SELECT o_orderkey AS paper, '10.1000/' || o_orderkey AS arxiv_doi FROM orders
-WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+@query("""SELECT o_orderkey AS paper, CASE WHEN o_orderstatus = 'F' THEN ''
+  ELSE '10.1000/' || o_orderkey END AS arxiv_doi FROM orders WHERE o_orderstatus = 'F'
+  OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
 def enrich_missing(t: Tables) -> DataFrame:
     papers = _keyed(tables.pending(_papers(t)), "arxiv_doi")
     known = _keyed(_known_works(t), "doi").withColumnRenamed("key", "work_key")

@@ -107,7 +107,7 @@ def test_graph_export_tables(spark, rows):
 
 def test_enrich_and_not_found(spark, rows):
     p = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "paper int, k string")
-    w = spark.createDataFrame([("x", "W1")], "wk string, id string")
+    w = spark.createDataFrame([("x", "W1"), ("x", "W2"), (None, "W3")], "wk string, id string")
     assert rows(G.enrich(p, w, "k", "wk").select("paper", "alex.id")) == [
         (1, "W1"), (2, None), (3, None)]
     assert rows(G.not_found(p, w, "k", "wk"), "paper") == [(2,), (3,)]

@@ -8,12 +8,13 @@ import pytest
 
 import __spark_entry__ as entry_file
 from quillgraph.operators import graph, stats
+from quillgraph.plans import ORACLES, QUERIES
 from quillgraph.schemas import COMPACT_WORK
 from quillgraph.sources.tables import read_works
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = [f[:-8] for f in sorted(os.listdir(FOLDER)) if f.endswith(".parquet")]
-ORACLES = entry_file.oracle_sql()
+
 SLOW = {"codec_profile", "link_model_scores"}
 
 
@@ -86,9 +87,9 @@ def plain(value):
     return round(value, 4) + 0.0 if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_file.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_query_equals_oracle(spark, name):
-    df = entry_file.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = sorted((tuple(plain(v) for v in r) for r in df.select(*columns).collect()), key=repr)
     if name not in ORACLES:

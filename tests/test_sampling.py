@@ -47,8 +47,8 @@ def test_negatives(spark, rows):
     assert drawn.filter("src < 0 OR src >= 24 OR dst < 0 OR dst >= 24").count() == 0
     kept = M.corrupt_targets(edges, F.lit(24), 2)
     assert set(rows(kept, "src")) == set(rows(edges, "src")) and kept.count() == 2 * n
-    hard = rows(M.hard_negatives(edges, edges, 24, 10))
-    assert hard and len(set(hard)) == len(hard)
+    hard = rows(M.hard_negatives(edges, edges, 24), "src", "dst")
+    assert len(hard) == n and len(set(hard)) == len(hard)
     assert not set(hard) & set(rows(edges, "src", "dst")) and all(a < b for a, b in hard)
     both = M.labelled(edges, spark.createDataFrame(hard, "src bigint, dst bigint"))
     assert Counter(r.label for r in both.collect()) == {1: n, 0: len(hard)}
