@@ -148,7 +148,7 @@ class Weights:
     def score(self, piece: Piece) -> float:
         if piece.feature[0] == "w":
             return piece.words * max(0.01, self.share(piece.feature))
-        return -0.05 - 4.0 * (1.0 - self.share(piece.feature))
+        return -0.05 - 1.5 * (1.0 - self.share(piece.feature))
 
 
 def region(pieces: list[Piece], weights: Weights) -> tuple[int, int]:

@@ -32,6 +32,8 @@ from quillgraph.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
+CACHED_WORDS = 600_000  # of about 200 bytes each
+_MARKS = frozenset(".,;:!?")
 BATCH_BYTES = 2 << 20
 
 
@@ -47,16 +49,17 @@ class WordEncoder:
 
     # Fixed value: the split pattern stated in the tokenizer's file.
     _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    _CUT = re.compile(r"[ \n]+")
-    # All characters below U+0250 but this one are lowered one by one and composed.
-    _PLAIN = re.compile("[\x20-įı-ɏ]*\\Z")
+    # Characters below U+0250 but one are lowered one by one and composed already; words
+    # with the bracket may hold special tokens.
+    _PLAIN = re.compile("[^<İɐ-\U0010ffff]*\\Z")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.special = [t["content"] for t in _added_tokens(path)]
-        self.pieces = BatchCache(self._together)
-        self.words = BatchCache(self._words)
+        if not all(t["content"].startswith("<") for t in _added_tokens(path)):
+            raise ValueError("special tokens must begin with an angle bracket")
+        self.pieces = BatchCache(self._together, CACHED_WORDS)
+        self.words = BatchCache(self._words, CACHED_WORDS)
 
     def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces: one call of the library for many, with a space between."""
@@ -69,17 +72,36 @@ class WordEncoder:
             out += [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return out
 
+    def _cut(self, word: str) -> tuple[str, ...] | list[str]:
+        """Pieces of a plain word; most are letters, perhaps with one mark behind."""
+        word = word.lower()
+        if word.isalpha():
+            return (word,)
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return self._PIECES.findall(word)
+
     def _words(self, words: list[str]) -> list[bytes]:
-        plain = [bool(self._PLAIN.match(w)) and not any(s in w for s in self.special)
-                 for w in words]
-        cut = [self._PIECES.findall(w.lower()) if p else () for w, p in zip(words, plain, strict=True)]
-        self.pieces.need({x for pieces in cut for x in pieces})
-        return [b"".join(map(self.pieces.__getitem__, pieces)) if p else np.array(
-            self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            for w, p, pieces in zip(words, plain, cut, strict=True)]
+        plain = [w for w in words if self._PLAIN.match(w)]
+        cut = dict(zip(plain, map(self._cut, plain), strict=True))
+        self.pieces.need({x for pieces in cut.values() for x in pieces})
+        pieces, join = self.pieces, b"".join
+        out = []
+        for word in words:
+            parts = cut.get(word)
+            if parts is None:
+                out.append(self._library(word))
+            elif len(parts) == 1:
+                out.append(pieces[parts[0]])
+            else:
+                out.append(join([pieces[x] for x in parts]))
+        return out
+
+    def _library(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [self._CUT.split(text) for text in texts]
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
         self.words.need(set().union(*cut))
         return [b"".join(map(self.words.__getitem__, words)) for words in cut]
 
