@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.skew import count_rows, groups_of_size, skew_join
+from quillgraph.operators.skew import as_build_side, count_rows, groups_of_size, skew_join
 
 # Thresholds of the published graph: bounds are inclusive.
 TEAM_SIZE = (2, 10)
@@ -88,8 +88,7 @@ def top_authors(edges: DataFrame, n: int = 5000, min_works: int = 3) -> DataFram
     """All edges of the ``n`` authors with most works."""
     best = (count_rows(edges, "author", "n_works").filter(F.col("n_works") >= min_works)
             .orderBy(F.desc("n_works"), "author").limit(n))
-    # n rows, given by the caller: small enough to broadcast.
-    return edges.join(F.broadcast(best.select("author")), "author", "left_semi")
+    return edges.join(as_build_side(best.select("author")), "author", "left_semi")
 
 
 def select_works(works: DataFrame, selector: DataFrame, key: str = "id",
@@ -137,6 +136,18 @@ def coauthor_pairs(team_rows: DataFrame, max_team: int = TEAM_SIZE[1]) -> DataFr
             .filter(F.col("src") != F.col("dst")))
 
 
+def index_edges(edges: DataFrame, index: DataFrame, key: str = "author",
+                ix: str = "author_ix") -> DataFrame:
+    """``edges`` with ``src`` and ``dst`` replaced by their numbers in ``index``; other
+    columns stay. Edges with an end that is not in the index are dropped."""
+    numbers = index.select(key, ix)
+    source = numbers.select(F.col(key).alias("src"), F.col(ix).alias("_src_ix"))
+    target = numbers.select(F.col(key).alias("dst"), F.col(ix).alias("_dst_ix"))
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    joined = edges.join(as_build_side(source), "src").join(as_build_side(target), "dst")
+    return joined.select(F.col("_src_ix").alias("src"), F.col("_dst_ix").alias("dst"), *rest)
+
+
 def undirected_edges(edges: DataFrame, drop_self_loops: bool = True) -> DataFrame:
     """One row ``(src, dst, weight)`` per unordered pair, ``src <= dst``."""
     pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))

@@ -142,19 +142,22 @@ def neighbor_sample(edges: DataFrame, seeds: DataFrame, fanout: Sequence[int] =
                     salt: str = "hop") -> DataFrame:
     """Sampled subgraph ``(hop, src, dst)``: up to ``fanout[h]`` neighbours per node.
 
-    ``edges`` hold both directions; ``seeds`` has one column ``node``. The rank
-    filter lets Spark cut each node's list on the map side, so a hub sends only
-    a few rows to its task; the frontier is joined after the cut.
+    ``edges`` hold both directions; ``seeds`` has one column ``node``. Only edges of the
+    frontier are ranked, and the rank filter lets Spark cut each node's list on the map
+    side, so a hub sends only a few rows to its task. Each hop is written out, since the
+    next one starts from it.
     """
     frontier = seeds.select("node").distinct()
     hops = None
     for hop, limit in enumerate(fanout, start=1):
         order = Window.partitionBy("src").orderBy(
             digest(f"{salt}{hop}", F.col("src"), F.col("dst")), "dst")
-        kept = (edges.select("src", "dst").withColumn("_rank", F.row_number().over(order))
-                .filter(F.col("_rank") <= limit).drop("_rank"))
-        reached = kept.join(frontier, F.col("src") == F.col("node"), "left_semi")
-        rows = reached.select(F.lit(hop).alias("hop"), "src", "dst")
+        near = edges.select("src", "dst").join(
+            as_build_side(frontier), F.col("src") == F.col("node"), "left_semi")
+        rows = near.withColumn("_rank", F.row_number().over(order)).filter(
+            F.col("_rank") <= limit).select(F.lit(hop).alias("hop"), "src", "dst")
+        if hop < len(fanout):
+            rows = materialize(rows, "hop")
         hops = rows if hops is None else hops.unionByName(rows)
-        frontier = reached.select(F.col("dst").alias("node")).distinct()
+        frontier = rows.select(F.col("dst").alias("node")).distinct()
     return hops

@@ -77,10 +77,10 @@ def works_per_author_list(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {EDGES}, best AS (SELECT author FROM edges GROUP BY 1 HAVING count(*) > 2
-  ORDER BY count(*) DESC, author LIMIT 5000)
+  ORDER BY count(*) DESC, author LIMIT 20)
 SELECT author, work FROM edges WHERE author IN (SELECT author FROM best)""")
 def top_authors(t: Tables) -> DataFrame:
-    return graph.top_authors(_edges(t), 5000)
+    return graph.top_authors(_edges(t), 20)
 
 
 @query(f"""WITH {EDGES} SELECT DISTINCT work::VARCHAR AS id, '{graph.WORK_COLOR}' AS color FROM edges
@@ -206,6 +206,35 @@ def author_index(t: Tables) -> DataFrame:
     return features.author_index(tt.positioned(t))
 
 
+NAMED_IX = AUTHOR_IX.replace("ORDER BY work, pos, author)", "ORDER BY work, pos, 'A' || author)")
+
+
+@query(f"""WITH {PAIRS}, {NAMED_IX} SELECT a.author_ix AS src, b.author_ix AS dst, weight
+FROM und JOIN ix a ON a.author = src JOIN ix b ON b.author = dst""")
+def indexed_edges(t: Tables) -> DataFrame:
+    """The co-author graph of text ids, in author numbers."""
+    named = lambda c: F.concat(F.lit("A"), F.col(c).cast("string"))
+    edges = _undirected(t).withColumns({"src": named("src"), "dst": named("dst")})
+    index = features.author_index(tt.positioned(t).withColumn("author", named("author")))
+    return graph.index_edges(edges, materialize(index, "author-index"))
+
+
+@query(f"""WITH {PAIRS}, sym AS (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und),
+seeds AS (SELECT DISTINCT o_custkey % (SELECT count(*) FROM part) AS node FROM orders
+  WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+h1 AS MATERIALIZED (SELECT src, dst FROM sym SEMI JOIN seeds ON src = node
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY md5('hop1:' || src || ':' || dst), dst) <= 3),
+h2 AS (SELECT sym.src, sym.dst FROM sym SEMI JOIN h1 ON sym.src = h1.dst QUALIFY row_number() OVER (
+  PARTITION BY sym.src ORDER BY md5('hop2:' || sym.src || ':' || sym.dst), sym.dst) <= 2)
+SELECT 1 AS hop, src, dst FROM h1 UNION ALL SELECT 2, src, dst FROM h2""")
+def neighbor_sample_seeds(t: Tables) -> DataFrame:
+    """Sampled surroundings of some authors: only their edges are ranked."""
+    count = _author_count(t)
+    seeds = t.orders.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(
+        F.pmod(F.col("o_custkey"), count).alias("node"))
+    return sampling.neighbor_sample(materialize(_symmetric(t), "edges"), seeds, (3, 2))
+
+
 def _terms(t: Tables) -> tuple[DataFrame, DataFrame]:
     """``(work, position, item, author, field)`` and the same with ``country``.
 

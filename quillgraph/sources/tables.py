@@ -74,14 +74,16 @@ def lookup_terms(rows: DataFrame, vocabulary: DataFrame, ix: str, term: str = "t
                  name: str | None = None) -> DataFrame:
     """Inverse lookup: add the term of each index, null where there is none.
 
-    The vocabulary is broadcast when it is small enough, else both sides are sorted.
+    The vocabulary is cut to the asked indexes first, so that a few rows (a top k) don't
+    sort all of it.
     """
     terms = vocabulary.select(F.col("ix").alias(ix), F.col(term).alias(name or term))
-    return rows.join(as_build_side(terms), ix, "left")
+    asked = rows.select(ix).distinct()
+    return rows.join(terms.join(as_build_side(asked), ix, "left_semi"), ix, "left")
 
 
 def title_search(works: DataFrame, text: str, column: str = "title") -> DataFrame:
-    """Works whose title holds every word of ``text``, ignoring case."""
+    """Works whose title contains every word of ``text`` (also inside a word), ignoring case."""
     found = F.lit(True)
     for word in text.lower().split():
         found = found & F.lower(F.col(column)).contains(word)

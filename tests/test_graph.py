@@ -178,3 +178,9 @@ def test_dense_index_and_running_sum(spark):
         total += r.v
         want[r.h] = total
     assert {r.h: r.cum_v for r in running_sum(df, ["h"], ["v"]).collect()} == want
+
+
+def test_index_edges_drops_unknown_ends(spark, rows):
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "z", 1)], "src string, dst string, weight int")
+    index = spark.createDataFrame([("a", 1), ("b", 0)], "author string, author_ix bigint")
+    assert rows(G.index_edges(edges, index)) == [(1, 0, 3)]
