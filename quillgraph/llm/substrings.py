@@ -36,7 +36,9 @@ from quillgraph.session import materialize
 
 LENGTH, ANCHOR = 100, 40
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
+BUCKET_TEXTS = 8_000
+_SLICE = 200_000  # starts put in suffix order at a time, about
 _STEP = 1 << 20  # starts handled at a time
 _PLACE = np.uint64((1 << 24) - 1)
 NO_ID = 2**63 - 1  # documents without an id, as the last
@@ -238,33 +240,47 @@ def copies_of(contexts: list[bytes], doc: np.ndarray, low: np.ndarray, group: np
         hashed = PrefixHash(data).windows(LENGTH)[start] ^ (
             group[owner].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, inverse, counts = np.unique(hashed, return_inverse=True, return_counts=True)
-    twice = counts[inverse] > 1
-    start, owner, inside = start[twice], owner[twice], inside[twice]
-    at_doc, at = doc[owner], low[owner] + inside
+    twice = np.flatnonzero(counts[inverse] > 1)
+    twice = twice[np.argsort(hashed[twice], kind="stable")]
+    # Equal strings have equal hashes and stay together; slices bound the memory.
+    change = np.flatnonzero(np.diff(hashed[twice])) + 1
+    cuts, edge = [0], 0
+    for at in change.tolist():
+        if at - edge >= _SLICE:
+            cuts.append(at)
+            edge = at
+    parts = []
+    for a, b in zip(cuts, [*cuts[1:], len(twice)], strict=True):
+        part = twice[a:b]
+        own = owner[part]
+        parts.append(_copies(data, start[part], group[own], doc[own], low[own] + inside[part]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _copies(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.ndarray,
+            low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the given starts whose LPF reaches LENGTH."""
     # Repeated rows give one place twice; it is one start.
-    place = np.lexsort((at, at_doc, group[owner]))
+    place = np.lexsort((low, doc, group))
     keep = np.ones(len(place), bool)
-    keep[1:] = ((at[place][1:] != at[place][:-1]) | (at_doc[place][1:] != at_doc[place][:-1])
-                | (group[owner][place][1:] != group[owner][place][:-1]))
+    keep[1:] = ((low[place][1:] != low[place][:-1]) | (doc[place][1:] != doc[place][:-1])
+                | (group[place][1:] != group[place][:-1]))
     place = place[keep]
-    start, owner, at_doc, at = start[place], owner[place], at_doc[place], at[place]
+    start, group, doc, low = start[place], group[place], doc[place], low[place]
     if not len(start):
-        return at_doc, at
+        return doc, low
     strings = sliding_window_view(data, LENGTH)[start]
     words = np.zeros((len(start), -(-LENGTH // 8) * 8), np.uint8)
     words[:, :LENGTH] = strings
-    words = words.view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], group[owner]))
+    order = np.lexsort((*words.view(">u8").astype(np.uint64).T[::-1], group))
     common = np.zeros(len(order), np.int64)
-    near, far = strings[order[1:]], strings[order[:-1]]
-    differ = near != far
+    differ = strings[order[1:]] != strings[order[:-1]]
     common[1:] = np.where(differ.any(1), differ.argmax(1), LENGTH)
-    common[1:][group[owner[order[1:]]] != group[owner[order[:-1]]]] = 0
+    common[1:][group[order[1:]] != group[order[:-1]]] = 0
     text_rank = np.empty(len(order), np.int64)
-    text_rank[np.lexsort((at, at_doc))] = np.arange(len(order))
-    lpf = longest_previous_factors(text_rank[order], common)
-    copied = lpf[text_rank] >= LENGTH
-    return at_doc[copied], at[copied]
+    text_rank[np.lexsort((low, doc))] = np.arange(len(order))
+    copied = longest_previous_factors(text_rank[order], common)[text_rank] >= LENGTH
+    return doc[copied], low[copied]
 
 
 def _open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
@@ -312,7 +328,7 @@ def copied_spans(docs: DataFrame) -> DataFrame:
     found = materialize(anchors(docs, buckets).groupBy("bucket").applyInArrow(resolve, _FOUND),
                         "copies-equal")
     open_runs = materialize(_open_texts(docs, found.where("key IS NOT NULL")), "copies-open")
-    parts = buckets_for(open_runs.count(), 50_000)
+    parts = buckets_for(open_runs.count(), BUCKET_TEXTS)
     inner = open_runs.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))) \
         .groupBy("bucket").applyInArrow(_copies_in_bucket, "doc long, low long, high long")
     return found.where("key IS NULL").select("doc", "low", "high").union(inner)
