@@ -31,6 +31,7 @@ from quillgraph.session import materialize
 
 BATCH_BYTES = 2 << 20
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 4_000_000
+_BITS = 1 << 24
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90),
                   np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -157,11 +158,35 @@ def sketches(docs: DataFrame, near: Near) -> DataFrame:
         run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """rep, elements (sorted 64-bit hashes as bytes) of each row."""
+def _bit(doc_id: str = "doc_id"):
+    return F.pmod(F.xxhash64(doc_id), F.lit(_BITS))
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit for the hash of each id. Its size is fixed (2 MB), so it may go to all
+    tasks; with very many ids it lets more rows pass, never fewer."""
+    words = ids.select(_bit().alias("b")).groupBy(F.expr("b div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 AS int))")).alias("bits")).collect()
+    out = np.zeros(_BITS // 64, np.uint64)
+    for row in words:
+        out[row["word"]] = row["bits"] % (1 << 64)
+    return out
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """rep, elements (sorted 64-bit hashes as bytes) of the rows whose id is in
+    ``wanted``, and of a few others; no shuffle of texts."""
+    marks = _marks(wanted)
+    rows = id_and_text(docs).where("doc_id IS NOT NULL").withColumn("b", _bit())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, BATCH_BYTES):
+        for batch in batches:
+            b = batch["b"].to_numpy().astype(np.uint64)
+            hit = (marks[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1)
+            yield from sets(batch.filter(pa.array(hit.astype(bool))))
+
+    def sets(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches([some], BATCH_BYTES):
             elements, counts = shingle_sets(*flat_bytes(batch["text"]), words)
             ends = np.cumsum(counts)
             rows = [elements[e - c:e].tobytes() for e, c in zip(ends, counts, strict=True)]
@@ -169,7 +194,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 [batch["doc_id"].cast(pa.int64()), pa.array(rows, pa.binary())],
                 names=["rep", "elements"])
 
-    return id_and_text(docs).mapInArrow(run, "rep long, elements binary")
+    return rows.mapInArrow(run, "rep long, elements binary")
 
 
 # --- links -----------------------------------------------------------------------------------
@@ -279,8 +304,7 @@ def links(docs: DataFrame, reps: DataFrame, near: Near) -> DataFrame:
         "pivot", F.col("rep").alias("member")).distinct(), "near-pairs")
     wanted = pairs.select(F.col("pivot").alias("doc_id")).union(
         pairs.select(F.col("member").alias("doc_id"))).distinct()
-    sets = materialize(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), near.words)
-                       .dropDuplicates(["rep"]), "near-sets")
+    sets = materialize(full_sets(docs, wanted, near.words), "near-sets")
     checked = materialize(confirm(pairs, sets, near), "near-checked")
     # Buckets of three or more that are not resolved; of those with the same members one.
     failed = held.where("size > 2").join(
