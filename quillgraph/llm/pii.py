@@ -52,6 +52,9 @@ _LOOSE = {
 _NEEDS = {"email": r"@|\bat\x20?[\])]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]",
           "card": r"[0-9][\x20.-]?[0-9]", "phone": r"\+[0-9]|[0-9][.-][0-9]{4}"}
 
+# Shorter matches can't be valid; a table of numbers has thousands of them.
+_LEAST = {"email": 5, "ip": 7, "card": 13, "phone": 10}
+
 # Gazetteers: common top-level domains, calling codes, prefixes of card issuers and
 # address blocks that belong to no one.
 _DOMAINS = r"\.(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu|ch|at|be|pl|ru|jp|cn|in|br|au|ca|us)$"
@@ -76,8 +79,9 @@ def _none() -> Column:
     return F.array().cast(f"array<{_SPAN}>")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array of start, end (code points), text."""
+def matches(text: Column, pattern: str, least: int = 1) -> Column:
+    """Leftmost non-overlapping matches of ``least`` characters or more as array of
+    start, end (code points), text. Shorter ones only move the position on."""
 
     def placed(found: Column) -> Column:
         steps = F.zip_with(F.split(text, pattern, -1), found, lambda gap, hit: F.struct(
@@ -87,8 +91,9 @@ def matches(text: Column, pattern: str) -> Column:
             start = done["at"] + step["gap"]
             end = start + F.length(step["hit"])
             span = F.struct(start.alias("start"), end.alias("end"), step["hit"].alias("text"))
+            longer = F.when(F.length(step["hit"]) >= least, F.concat(done["out"], F.array(span)))
             return F.when(step["hit"].isNull(), done).otherwise(F.struct(
-                end.alias("at"), F.concat(done["out"], F.array(span)).alias("out")))
+                end.alias("at"), F.coalesce(longer, done["out"]).alias("out")))
 
         begin = F.struct(F.lit(0).alias("at"), _none().alias("out"))
         return F.when(F.size(found) == 0, _none()).otherwise(
@@ -168,9 +173,8 @@ def _candidates(kind: str, text: Column) -> Column:
             base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         return F.concat(described(base, None), described(apart, F.lit(False)))
 
-    spans = F.when(text.rlike(_NEEDS[kind]), matches(text, _BASE[kind])).otherwise(_none())
-    loose = F.when(text.rlike(_NEEDS[kind]), _let(spans, both))
-    return F.coalesce(loose, described(_none(), None))
+    spans = matches(text, _BASE[kind], _LEAST[kind])
+    return F.when(text.rlike(_NEEDS[kind]), _let(spans, both)).otherwise(described(_none(), None))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
