@@ -124,21 +124,22 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
             margin, sums, scale, _ = _parts(weights, vectors, slots, starts)
             error = 1 / (1 + np.exp(-np.clip(bias + margin, -30, 30))) - labels[rows]
-            each = np.repeat(error, counts)
-            used, at = np.unique(slots, return_inverse=True)
-            grad = np.bincount(at, each, len(used))
-            grown = sizes[used] + grad * grad
-            pulls[used] += grad - (np.sqrt(grown) - np.sqrt(sizes[used])) / RATE * weights[used]
-            sizes[used] = grown
-            z = pulls[used]
-            weights[used] = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / (
-                (1.0 + np.sqrt(grown)) / RATE + L2))
-            pull = np.repeat(error * scale, counts)[:, None] * (
-                np.repeat(sums, counts, axis=0) - vectors[slots])
-            grad_v = np.stack([np.bincount(at, pull[:, f], len(used)) for f in range(factors)], 1)
-            grad_v += 1e-4 * vectors[used]
-            step_v[used] += grad_v * grad_v
-            vectors[used] -= 0.05 * grad_v / np.sqrt(step_v[used])
+            if len(slots):  # a batch may have no telling term
+                each = np.repeat(error, counts)
+                used, at = np.unique(slots, return_inverse=True)
+                grad = np.bincount(at, each, len(used))
+                grown = sizes[used] + grad * grad
+                pulls[used] += grad - (np.sqrt(grown) - np.sqrt(sizes[used])) / RATE * weights[used]
+                sizes[used] = grown
+                z = pulls[used]
+                weights[used] = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / (
+                    (1.0 + np.sqrt(grown)) / RATE + L2))
+                pull = np.repeat(error * scale, counts)[:, None] * (
+                    np.repeat(sums, counts, axis=0) - vectors[slots])
+                grad_v = np.stack([np.bincount(at, pull[:, f], len(used)) for f in range(factors)], 1)
+                grad_v += 1e-4 * vectors[used]
+                step_v[used] += grad_v * grad_v
+                vectors[used] -= 0.05 * grad_v / np.sqrt(step_v[used])
             step_b += error.sum() ** 2
             bias -= 0.5 * error.sum() / np.sqrt(step_b)
     return Machine(bias, weights, vectors, {int(b): i for i, b in enumerate(buckets)})
