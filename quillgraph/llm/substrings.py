@@ -119,8 +119,8 @@ def _later(key: np.ndarray, text: np.ndarray, doc: np.ndarray, low: np.ndarray
 
 
 def anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, payload: packed runs by bucket of the anchor's hash; bucket -1: packed
-    intervals that are known to be copies."""
+    """bucket, payload: packed runs by bucket of the anchor's hash; buckets below 0:
+    packed intervals that are known to be copies, spread by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, CHUNK_BYTES):
@@ -146,7 +146,7 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             ends = np.cumsum(counts)
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([-1, *some.tolist()], pa.int64()),
+                [pa.array([-1 - int(ids[0] % buckets), *some.tolist()], pa.int64()),
                  pa.array([_pack(spans), *(_pack(packed[ends[b] - counts[b]:ends[b]])
                                            for b in some)], pa.binary())],
                 names=["bucket", "payload"])
