@@ -1,9 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words and their first four and five letters (inflected and compounded insults
-share them), hashed into a fixed number of buckets. The machine has a weight for each
-term and a short vector for each; products of vectors give the weight of pairs, so that
-an insult next to the mention of a group counts for more than both alone. It is fitted
+share them), hashed into a fixed number of buckets. The machine has a short vector for
+each term that is not rare, and a weight for each of those that tells by itself; products
+of vectors give the weight of pairs, so that an insult next to the mention of a group
+counts for more than both alone, also where neither tells anything alone. It is fitted
 on a bounded random sample of labelled documents; scoring is one narrow pass over all.
 """
 
@@ -25,8 +26,8 @@ from quillgraph.llm.common import id_and_text, small_batches
 BUCKETS = 1 << 20
 FACTORS = 4
 SAMPLE_ROWS = 12_000  # labelled documents that the fit may use, about
-LEAST_DOCS = 4        # sampled documents a term must occur in to get a weight
-LEAST_CHI = 8.0       # and how far from chance, to get one
+LEAST_DOCS = 4        # sampled documents a term must occur in to get a vector
+LEAST_CHI = 8.0       # and how far from chance, to get a weight too
 RATE, L1, L2 = 1.0, 1.0, 0.01
 EPOCHS = 8
 THRESHOLD = 0.7
@@ -57,7 +58,8 @@ def features(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Machine:
-    """``slot_of`` maps a bucket to its row of ``weights`` and ``vectors``; -1: no weight."""
+    """``slot_of`` maps a bucket to its row of ``weights`` and ``vectors``; weights of
+    terms that don't tell by themselves are 0."""
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
@@ -84,16 +86,19 @@ def _parts(weights, vectors, slots, starts):
     return linear + 0.5 * scale * ((sums * sums).sum(1) - squares), sums, scale, counts
 
 
-def _telling(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Buckets in LEAST_DOCS documents or more whose frequency depends on the label
-    (chi-squared of the two by two table, one degree of freedom)."""
+def _telling(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in LEAST_DOCS documents or more, which get a vector, and which of them get
+    a weight: those whose own frequency depends on the label (chi-squared of the two by
+    two table, one degree of freedom). Terms that tell only in pairs pass by the first."""
     n, toxic = len(labels), labels.sum()
     seen = np.bincount(flat, minlength=BUCKETS).astype(float)
     hits = np.bincount(flat, labels[owner], minlength=BUCKETS)
     expected = seen * toxic / max(n, 1)
     spread = expected * (1 - toxic / max(n, 1)) * (1 - seen / max(n, 1))
     chi = np.divide((hits - expected) ** 2, spread, out=np.zeros(BUCKETS), where=spread > 0)
-    return np.flatnonzero((seen >= LEAST_DOCS) & (chi >= LEAST_CHI))
+    buckets = np.flatnonzero(seen >= LEAST_DOCS)
+    return buckets, chi[buckets] >= LEAST_CHI
 
 
 def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
@@ -103,7 +108,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
     lengths = np.array([len(t) for t in terms], np.int64)
     flat = np.concatenate(terms) if len(terms) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(terms)), lengths)
-    buckets = _telling(flat, owner, labels)
+    buckets, telling = _telling(flat, owner, labels)
     slot = np.full(BUCKETS, -1, np.int64)
     slot[buckets] = np.arange(len(buckets))
     inside = slot[flat] >= 0
@@ -124,7 +129,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
             margin, sums, scale, _ = _parts(weights, vectors, slots, starts)
             error = 1 / (1 + np.exp(-np.clip(bias + margin, -30, 30))) - labels[rows]
-            if len(slots):  # a batch may have no telling term
+            if len(slots):  # a batch may have rare terms only
                 each = np.repeat(error, counts)
                 used, at = np.unique(slots, return_inverse=True)
                 grad = np.bincount(at, each, len(used))
@@ -132,7 +137,7 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
                 pulls[used] += grad - (np.sqrt(grown) - np.sqrt(sizes[used])) / RATE * weights[used]
                 sizes[used] = grown
                 z = pulls[used]
-                weights[used] = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / (
+                weights[used] = np.where((np.abs(z) <= L1) | ~telling[used], 0.0, -(z - np.sign(z) * L1) / (
                     (1.0 + np.sqrt(grown)) / RATE + L2))
                 pull = np.repeat(error * scale, counts)[:, None] * (
                     np.repeat(sums, counts, axis=0) - vectors[slots])

@@ -417,6 +417,21 @@ def test_machine_learns_pairs():
     assert right.mean() > 0.95
 
 
+def test_machine_learns_pairs_as_it_is_used():
+    """The same with the constants and epochs of the query: terms that are as frequent in
+    toxic as in clean documents get no weight, but vectors."""
+    rng = np.random.default_rng(1)
+    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
+    terms = [np.array([t for t, on in ((1, x), (2, y), (3, not x), (4, not y)) if on])
+             for x, y in zip(a, b, strict=True)]
+    labels = (a == b).astype(float)
+    machine = toxicity.train(terms, labels)
+    assert sorted(machine.slot_of) == [1, 2, 3, 4] and not machine.weights.any()
+    slots = np.array([machine.slot_of[t] for x in terms for t in x])
+    right = (machine.margins(slots, np.arange(0, len(slots), 2)) > 0) == (labels > 0.5)
+    assert right.mean() > 0.95
+
+
 # --- 8 packing ----------------------------------------------------------------------------------------------------
 
 def brute_bins(sizes, capacity):
