@@ -25,7 +25,12 @@ from quillgraph.llm.common import small_batches
 BATCH_BYTES = 4 << 20
 
 # Elements by role, as HTML defines them.
-_RAW = "script|style|noscript|template|textarea|select|svg|math|iframe|object|head"
+_RAW = "script|style|noscript|template|textarea|select|svg|iframe|object|title"
+_HEAD = frozenset("base basefont bgsound link meta noframes".split())  # and raw ones
+_MATH = frozenset(
+    "math annotation annotation-xml maction menclose merror mfenced mfrac mglyph mi mlabeledtr"
+    " mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle"
+    " msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 _BOILERPLATE = frozenset("nav header footer aside form button menu dialog".split())
 _CONTENT = frozenset(["article", "main"])
 _INLINE = frozenset(
@@ -35,14 +40,16 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt pre blockquote figcaption div section"
                     " ul ol dl table tr figure body".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
-# Parts of class, id and role names that tell what is not the article.
+# Class, id and role names that tell what is not the article. They count as whole names
+# only ("has-sidebar" is a layout), and never for elements that hold the article.
+_NO_HINT = frozenset(["html", "body", *_CONTENT])
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header"
+    r"(?:^|\s)(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header"
     r"|masthead|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar"
-    r"|signup|social|sponsor\w*|subscribe|widget)(?=$|[\s_-])", re.I)
+    r"|signup|social|sponsor\w*|subscribe|widget)(?=$|\s)", re.I)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>]*/>|.*?(?:</\1\s*>|\Z))"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![\w:-])(?:[^>]*/>|.*?(?:</\1\s*>|\Z))"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)"""
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _PRIOR = 20  # pages' words a prior counts for
@@ -68,10 +75,16 @@ class Piece:
 
 
 def parse(page: str) -> list[Piece]:
-    """Text runs and tags in page order. Comments, raw elements and an unfinished last
-    tag give nothing; an element that is never closed ends with the one around it."""
+    """Text runs and tags in page order. Comments, raw elements, the head and an unfinished
+    last tag give nothing; an element that is never closed ends with the one around it.
+
+    The head ends at its end tag or, where that is left out, at the first text or tag that
+    can't stand in it. Formulas are text of the line they stand in, without their tags and
+    the source in their annotations.
+    """
     out: list[Piece] = []
     stack: list[tuple[str, bool]] = []  # open elements but inline ones; boilerplate or not
+    in_head = in_note = False
 
     def add_text(raw: str) -> None:
         text = html.unescape(raw)
@@ -85,13 +98,31 @@ def parse(page: str) -> list[Piece]:
 
     at = 0
     for token in _TOKEN.finditer(page):
-        add_text(page[at:token.start()])
+        between = page[at:token.start()]
+        in_head = in_head and not between.strip()
+        if not in_head and not in_note:
+            add_text(between)
         at = token.end()
         name = (token[3] or "").lower()
         if not name:
             continue
         closing, names = token[2] == "/", token[4]
-        hint = bool(names) and not closing and any(
+        if name in _MATH:
+            in_head = False
+            if name.startswith("annotation"):
+                in_note = not closing and not names.rstrip().endswith("/")
+            elif closing and name in ("math", "semantics"):
+                in_note = False
+            continue
+        if name in _BLOCKS or name in _BOILERPLATE or name in _CONTENT:
+            in_note = False  # an annotation that is never closed
+        if name == "head":
+            in_head = not closing
+            continue
+        if in_head and name in _HEAD:
+            continue
+        in_head = False
+        hint = bool(names) and not closing and name not in _NO_HINT and any(
             _HINT.search(a or b or c) for a, b, c in _NAMES.findall(names))
         known = name in _BLOCKS or name in _INLINE or name in _BOILERPLATE or name in _CONTENT
         tag = "t:" + ("hint" if hint else name if known else "other")
@@ -112,7 +143,8 @@ def parse(page: str) -> list[Piece]:
             tag = "t:" + name  # inline hints don't open a region
         out.append(Piece(tag, "\n" if name == "br" else "", False,
                          name not in _INLINE, inside and name not in _CONTENT))
-    add_text(page[at:])
+    if not in_note and not (in_head and not page[at:].strip()):
+        add_text(page[at:])
     return out
 
 

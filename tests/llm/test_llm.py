@@ -143,6 +143,26 @@ def test_main_text(tag):
     assert html.main_text(PAGE.format(tag=tag), html.Weights({})) == MAIN
 
 
+@pytest.mark.parametrize("old, new", [
+    ("</head>", ""), ("</title><style>p{{}}</style></head><body>", "</title><meta charset=u>"),
+    ("<body>", "<body class='has-sidebar'>"), ("<body>", "<body class='social'>"),
+    ("<html>", "<html class='no-sidebar' id=widget>"), ("<body>", "<body><div class='with-sidebar'>"),
+    ("<{tag}>", "<{tag} class='post social'>")])
+def test_main_text_where_the_head_is_open_or_names_look_like_hints(old, new):
+    page = PAGE.replace(old, new)
+    assert page != PAGE and html.main_text(page.format(tag="article"), html.Weights({})) == MAIN
+
+
+def test_formulas_stay_in_their_line():
+    page = PAGE.format(tag="article").replace(
+        "text of it.", "text of <math class='ad'><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup>"
+        "<mi>c</mi><mn>2</mn></msup></mrow><annotation encoding='application/x-tex'>E=mc^2"
+        "</annotation></semantics></math> it.")
+    assert html.main_text(page, html.Weights({})) == MAIN.replace("text of it", "text of E=mc2 it")
+    page = page.replace("</annotation></semantics></math> it.", "")
+    assert html.main_text(page, html.Weights({})).endswith("Second one <here> it goes on.")
+
+
 def test_html_edge_cases(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     assert html.extract(spark.createDataFrame([], schema)).count() == 0
