@@ -15,6 +15,9 @@ so starts are first brought together with those they could be equal to:
    copies; runs that share an anchor but differ around it are open.
 3. The texts of open runs (160 bytes at most) are fetched and meet by anchor. There the
    starts are put in suffix order and their LPF is computed by a scan with a stack.
+   Of a hot anchor (more than BUCKET_TEXTS open runs) the single 100-byte strings meet,
+   by the hash of the string: those that differ go to different buckets, and of equal
+   ones each slice of runs sends the first only, the others are copies already.
 4. Copied intervals are merged by document and cut out.
 
 Very frequent passages are cut down to one run a chunk before they meet.
@@ -283,18 +286,55 @@ def _copies(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.ndar
     return doc[copied], low[copied]
 
 
+def _strings(hot_runs: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    """The strings of (key, doc, low, context), first of their kind; copies without key."""
+    group, doc, low = (np.array([run[k] for run in hot_runs], np.int64) for k in range(3))
+    contexts = [run[3] for run in hot_runs]
+    copied = np.rec.fromarrays(copies_of(contexts, doc, low, group), names="doc,start")
+    sizes = np.array([len(c) - LENGTH + 1 for c in contexts], np.int64)
+    inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.rec.fromarrays([np.repeat(doc, sizes), np.repeat(low, sizes) + inside],
+                              names="doc,start")
+    first = np.flatnonzero(~np.isin(place, copied))
+    begins = np.repeat(np.cumsum([0, *(len(c) for c in contexts)])[:-1], sizes) + inside
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    with np.errstate(over="ignore"):
+        hashed = PrefixHash(data).windows(LENGTH)[begins[first]].view(np.int64)
+    strings = np.ascontiguousarray(sliding_window_view(data, LENGTH)[begins[first]])
+    offsets = np.arange(len(first) + 1, dtype=np.int32) * np.int32(LENGTH)
+    known = pa.Array.from_buffers(pa.binary(), len(first), [
+        None, pa.py_buffer(offsets), pa.py_buffer(strings)])
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([pa.array(hashed), pa.nulls(len(copied), pa.int64())]),
+         pa.array(np.concatenate([place.doc[first], copied.doc])),
+         pa.array(np.concatenate([place.start[first], copied.start])),
+         pa.concat_arrays([known, pa.nulls(len(copied), pa.binary())])],
+        names=["key", "doc", "low", "context"])
+
+
 def _open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
-    """key, doc, low, context of the open runs."""
-    wanted = open_runs.groupBy("doc").agg(F.collect_list(F.struct("key", "low", "high")).alias("runs"))
+    """key, doc, low, context of the open runs. Runs of hot anchors are given as their
+    100-byte strings, by hash; without key and context those that are known as copies."""
+    most = BUCKET_TEXTS
+    hot = open_runs.groupBy("key").count().where(F.col("count") > most) \
+        .select(F.col("key").alias("hot_key"))
+    wanted = open_runs.join(hot, F.col("key") == F.col("hot_key"), "left").groupBy("doc").agg(
+        F.collect_list(F.struct("key", "low", "high", F.col("hot_key").isNotNull().alias("hot")))
+        .alias("runs"))
     joined = _keyed(docs).join(wanted, "doc").select("doc", "text", "runs")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, CHUNK_BYTES):
             data, begins = flat_bytes(batch["text"])
             keys, docs_, lows, contexts = [], [], [], []
+            hot_runs: list[tuple[int, int, int, bytes]] = []
             for doc, begin, found in zip(batch["doc"].to_pylist(), begins.tolist(),
                                          batch["runs"].to_pylist(), strict=False):
                 for run in found:
+                    if run["hot"]:
+                        hot_runs.append((run["key"], doc, run["low"], data[
+                            begin + run["low"]:begin + run["high"]].tobytes()))
+                        continue
                     keys.append(run["key"])
                     docs_.append(doc)
                     lows.append(run["low"])
@@ -303,6 +343,8 @@ def _open_texts(docs: DataFrame, open_runs: DataFrame) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array(docs_, pa.int64()),
                  pa.array(lows, pa.int64()), pa.array(contexts, pa.binary())],
                 names=["key", "doc", "low", "context"])
+            for at in range(0, len(hot_runs), most):
+                yield _strings(hot_runs[at:at + most])
 
     return joined.mapInArrow(fetch, "key long, doc long, low long, context binary")
 
@@ -329,9 +371,10 @@ def copied_spans(docs: DataFrame) -> DataFrame:
                         "copies-equal")
     open_runs = materialize(_open_texts(docs, found.where("key IS NOT NULL")), "copies-open")
     parts = buckets_for(open_runs.count(), BUCKET_TEXTS)
-    inner = open_runs.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))) \
+    inner = open_runs.where("key IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(parts))) \
         .groupBy("bucket").applyInArrow(_copies_in_bucket, "doc long, low long, high long")
-    return found.where("key IS NULL").select("doc", "low", "high").union(inner)
+    known = open_runs.where("key IS NULL").select("doc", "low", (F.col("low") + LENGTH).alias("high"))
+    return found.where("key IS NULL").select("doc", "low", "high").union(known).union(inner)
 
 
 def dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:

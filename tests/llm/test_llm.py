@@ -228,6 +228,23 @@ def test_suffix_dedup(spark, odd, none):
     assert substrings.dedup(odd).where("doc_id IS NULL").count() == 2
 
 
+def test_open_runs_of_a_hot_anchor_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_TEXTS", 20)
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = noise(260)
+    made = [(i, noise(150) + passage + noise(150)) for i in range(300)]
+    df = spark.createDataFrame(made + made[7:9], "doc_id long, text string").repartition(5)
+    met = []
+    whole = substrings._open_texts
+    monkeypatch.setattr(substrings, "_open_texts", lambda *a: met.append(whole(*a)) or met[0])
+    want = brute_copies(texts_of(df))
+    for r in substrings.dedup(df).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    largest = met[0].where("key IS NOT NULL").groupBy("key").count().agg(F.max("count")).first()[0]
+    assert largest < 100  # of 302 rows with the passage
+
+
 def test_suffix_dedup_query(spark, docs):
     want = brute_copies(texts_of(docs))
     got = queries.QUERIES["op3_suffix_array_dedup"](spark, SF).collect()
