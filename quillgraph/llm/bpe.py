@@ -276,6 +276,10 @@ class Codec:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        self.spaced.clear()
+        self.tokens.clear()
+
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<u4").tolist()
         return b"".join(map(self.bytes_of.__getitem__, numbers)).decode("utf-8", "replace")
@@ -300,6 +304,12 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        try:
+            yield from coded(batches, own)
+        finally:  # workers live on; what they remember must not add up in an executor
+            own.forget()
+
+    def coded(batches: Iterator[pa.RecordBatch], own: Codec) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, BATCH_BYTES):
             rows: dict[str, list] = {c.split(" ")[0]: [] for c in schema.split(", ")[1:]}
             for ids in own.encode_all(batch["text"].to_pylist()):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import PrefixHash, flat_bytes, id_and_text, mix, small_batches, without
 from quillgraph.session import materialize
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19  # of text; a signature needs some 100 times that while it is made
 BLOCK_DOCS, BLOCK_SHINGLES = 1_000, 4_000_000
 _BITS = 1 << 24
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

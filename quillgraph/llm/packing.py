@@ -32,7 +32,7 @@ from quillgraph.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 600_000  # of about 200 bytes each
+CACHED_WORDS = 400_000  # of about 200 bytes each, while a task runs
 _MARKS = frozenset(".,;:!?")
 BATCH_BYTES = 2 << 20
 
@@ -108,6 +108,10 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+
 
 def _added_tokens(path: str) -> list[dict]:
     import json
@@ -132,6 +136,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         own, chunk = encoder(path), TaskContext.get().partitionId()
+        try:
+            yield from cut(batches, own, chunk)
+        finally:  # workers live on; what they remember must not add up in an executor
+            own.forget()
+
+    def cut(batches: Iterator[pa.RecordBatch], own: WordEncoder, chunk: int
+            ) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(capacity + 1, np.int64)
         for batch in small_batches(batches, BATCH_BYTES):
             rows: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
