@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import (
-    bpe, exact, html, lines, minhash, packing, pii, rules, substrings, toxicity)
+    bpe, exact, frequent, html, lexical, lines, minhash, packing, pii, rules, substrings,
+    toxicity, turns)
 from quillgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,57 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query("op11_structure_repair")
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@_query("op12_lexical_search", rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(
+                      translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+           FROM documents),
+     d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+     c AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM d),
+     f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+     q AS (SELECT item_id, unnest(regexp_extract_all(
+                      translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+           FROM benchmark),
+     t AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+     x AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+     y AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+           FROM x, c),
+     s AS (SELECT item_id, f.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (
+                      75 + CAST((25 * n * n_docs) // n_terms AS BIGINT))))) AS BIGINT) AS score
+           FROM t JOIN f USING (term) JOIN y USING (term) JOIN d ON d.doc_id = f.doc_id, c
+           GROUP BY item_id, f.doc_id),
+     r AS (SELECT item_id, CAST(row_number() OVER (
+                      PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+           FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 20""")
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op13_frequent_lines", rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS k FROM d),
+     n AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                               '{_UPPER}', '{_LOWER}') AS key
+           FROM u),
+     f AS (SELECT key, max(doc_id) AS last FROM n WHERE length(key) >= 20
+           GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+     g AS (SELECT n.doc_id, line, k, coalesce(doc_id <> last, false) AS gone
+           FROM n LEFT JOIN f ON n.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id""")
+def op13_frequent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
