@@ -95,26 +95,39 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("op10_line_dedup", r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-     s AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d),
-     u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS k FROM s),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     u AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS k FROM d),
      o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k)
                      - length(line) - 1 AS pos,
                   lower(array_to_string(list_filter(regexp_split_to_array(
                       line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ')) AS norm
            FROM u),
-     r AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) >= 9
-                     AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, k) > 1 AS gone
-           FROM o)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+     p AS (SELECT *, sum(CAST(norm = '' AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS par FROM o),
+     b AS (SELECT doc_id, par, min(k) AS k, string_agg(norm, ' ' ORDER BY k) AS whole
+           FROM p WHERE norm <> '' GROUP BY doc_id, par),
+     c AS (SELECT doc_id, par, row_number() OVER (PARTITION BY whole ORDER BY doc_id, k) > 1 AS again
+           FROM b),
+     r AS (SELECT p.*, norm <> '' AND (again OR row_number() OVER (
+                           PARTITION BY norm ORDER BY p.doc_id, k) > 1) AS gone,
+                  CASE WHEN norm = '' THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) + 1
+                  END AS n_words
+           FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.par = c.par),
+     i AS (SELECT *, sum(CAST(norm <> '' AND NOT gone AS INT)) OVER (
+                         PARTITION BY doc_id ORDER BY k) AS island FROM r),
+     s AS (SELECT doc_id, island, sum(n_words) FILTER (gone) AS n FROM i GROUP BY doc_id, island),
+     t AS (SELECT doc_id, count(*) FILTER (n >= 20) AS n_passages FROM s GROUP BY doc_id)
+SELECT i.doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       CAST(coalesce(sum(n_words) FILTER (gone), 0) AS BIGINT) AS n_removed_words,
+       any_value(n_passages) AS n_passages,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256,
        coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(line) AS BIGINT), ','
                            ORDER BY k) FILTER (gone), '') AS spans
-FROM r GROUP BY doc_id""")
+FROM i JOIN t ON i.doc_id = t.doc_id GROUP BY i.doc_id""")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))
     return lines.dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"),
+        "doc_id", "n_lines", "n_removed", "n_removed_words", "n_passages",
+        F.sha2("text", 256).alias("kept_sha256"),
         F.concat_ws(",", F.transform("spans", span)).alias("spans"))
 
 

@@ -11,7 +11,7 @@ import zlib
 
 import pytest
 
-from quillgraph.llm import frequent, lexical, queries, turns
+from quillgraph.llm import frequent, lexical, lines, queries, turns
 
 SF = "/root/testdata/sf0.001"
 
@@ -323,3 +323,64 @@ def test_twice_seen_lets_no_repeat_out_and_few_others_in(spark):
     out = frequent.suspects(found, frequent.twice_seen(found, bits), bits).collect()
     repeats = {i for i, _ in keys if i % 10 == 0}
     assert repeats <= {r.doc_id for r in out} and len(out) < len(repeats) + 10
+
+
+# --- 10 repeated lines and paragraphs ---------------------------------------------------------
+
+def brute_lines(docs):
+    """doc_id -> (removed lines, text that stays, words removed, passages)."""
+    norm = lambda x: " ".join(w for w in re.split(r"[\x20\x09-\x0D]+", x.lower()) if w)
+    seen, blocks, out = set(), set(), {}
+    for doc_id, text in sorted(docs):
+        split = (text or "").split("\n")
+        gone, start = set(), 0
+        for k, line in enumerate(split):
+            if norm(line) in seen and norm(line):
+                gone.add(k)
+            seen.add(norm(line))
+        for k in range(len(split) + 1):
+            if k == len(split) or not norm(split[k]):
+                whole = " ".join(map(norm, split[start:k]))
+                if whole and whole in blocks:
+                    gone |= set(range(start, k))
+                blocks.add(whole)
+                start = k + 1
+        runs, run = [0], False
+        for k, line in enumerate(split):
+            if k in gone:
+                runs[-1] += len(norm(line).split(" "))
+            elif norm(line):
+                runs.append(0)
+        out[doc_id] = (len(gone), "\n".join(x for k, x in enumerate(split) if k not in gone),
+                       sum(runs), sum(r >= lines.PASSAGE_WORDS for r in runs))
+    return out
+
+
+def test_short_lines_and_wrapped_paragraphs(spark):
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(400)]
+    passages = [" ".join(rng.sample(words, 60)) for _ in range(8)]
+
+    def wrapped(text):
+        parts, width = text.split(), rng.randint(4, 9)
+        return "\n".join(" ".join(parts[i:i + width]) for i in range(0, len(parts), width))
+
+    docs = []
+    for i in range(120):
+        own = [wrapped(" ".join(rng.sample(words, 40)))]
+        if i % 3 == 0:
+            own.append(wrapped(rng.choice(passages)))
+        if i % 4 == 0:
+            own.append(rng.choice(["Yes.", " yes.\t", "page 1", "\r"]))
+        rng.shuffle(own)
+        docs.append((i, "\n\n".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_removed, r.text, r.n_removed_words, r.n_passages)
+           for r in lines.dedup(df).collect()}
+    assert got == brute_lines(docs)
+    first = {}
+    for i, text in docs:
+        for p in passages:
+            if p in " ".join(text.split()):
+                assert (got[i][3] >= 1) == (p in first)
+                first.setdefault(p, i)
