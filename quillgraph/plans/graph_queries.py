@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors as V
-from quillgraph.operators import features, graph, linkpred, metrics, sampling
+from quillgraph.operators import features, graph, linkpred, metrics, partners, sampling
 from quillgraph.plans.catalog import AUTHOR_IX, EDGES, MENTIONS, PAIRS, hash32, hash60, query
 from quillgraph.session import materialize
 from quillgraph.sources import tables
@@ -282,8 +282,7 @@ def load_vocabulary(t: Tables) -> DataFrame:
 @query(f"""WITH {AUTHOR_IX}, {VOCABS},
 v AS (SELECT l_partkey AS author, embedding AS e FROM lineitem JOIN embeddings
   ON vec_id = l_orderkey % (SELECT count(*) FROM embeddings)
-  WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'
-    AND o_orderstatus = 'O')),
+  WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 500 = 7)),
 u AS (SELECT author, unnest(range({WIDTH})) AS pos, unnest(e) AS x FROM v),
 mean AS (SELECT author, pos, avg(x::DOUBLE) AS value FROM u GROUP BY 1, 2
   UNION ALL SELECT author, unnest(range({WIDTH})), 0.0 FROM ix ANTI JOIN v USING (author)),
@@ -303,10 +302,11 @@ SELECT author_ix, pos::INT AS pos, round(value, 5) + 0.0::DOUBLE AS value
 FROM (SELECT * FROM mean UNION ALL SELECT * FROM hot) JOIN ix USING (author)""")
 def author_features(t: Tables) -> DataFrame:
     count = t.embeddings.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # Only some works have a vector, so that some authors have none.
-    some = t.orders.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'")
-    vectors = (some.select(F.col("o_orderkey").alias("work"),
+    # The works of a few authors have no vector, so that these have a mean of nothing.
+    without = t.lineitem.filter("l_partkey % 500 = 7").select(F.col("l_orderkey").alias("work"))
+    vectors = (t.orders.select(F.col("o_orderkey").alias("work"),
                                F.pmod(F.col("o_orderkey"), count).alias("vec_id"))
+               .join(without, "work", "left_anti")
                .join(t.embeddings, "vec_id").select("work", F.col("embedding").alias("vector")))
     fields, countries = _terms(t)
     made = features.author_features(features.author_index(tt.positioned(t)), tt.mentions(t),
@@ -411,6 +411,96 @@ def gin_layer(t: Tables) -> DataFrame:
     return _long(linkpred.gin_layer(_symmetric(t), _nodes(t), WIDTH), "node")
 
 
+def _weights(rows: int, columns: int, a: int, b: int, modulus: int) -> np.ndarray:
+    """A fixed matrix given by a rule, also used in the SQL."""
+    row, column = np.meshgrid(np.arange(rows), np.arange(columns), indexing="ij")
+    return ((a * column + b * row) % modulus - modulus // 2) / 10
+
+
+def _times_sql(vector: str, rows: int, columns: int, a: int, b: int, modulus: int) -> str:
+    """The elements of ``_weights(...) @ vector`` as a list in SQL."""
+    return f"""list_transform(range({rows}), lambda o: list_sum(list_transform(range({columns}),
+  lambda i: {vector}[i + 1] * ((({a} * i + {b} * o) % {modulus} - {modulus // 2}) / 10))))"""
+
+
+def _bias(rows: int) -> np.ndarray:
+    return (np.arange(rows) % 3 - 1) / 10
+
+
+SYM = "sym AS (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und)"
+HOOD = f"""{SYM}, hx AS (SELECT node, unnest(range({WIDTH})) AS pos, unnest(e)::DOUBLE AS x FROM n),
+hp AS (SELECT dst AS node, pos, {{0}}(x) AS h FROM sym JOIN hx ON hx.node = sym.src GROUP BY 1, 2),
+hood AS (SELECT node, list(h ORDER BY pos) AS h FROM hp GROUP BY 1),
+base AS MATERIALIZED (SELECT n.node, list_transform(e, lambda v: v::DOUBLE) AS e,
+  coalesce(h, list_transform(range({WIDTH}), lambda i: 0.0::DOUBLE)) AS h
+  FROM n LEFT JOIN hood ON hood.node = n.node)"""
+SAGE = f"""{HOOD.format("avg")},
+own AS (SELECT node, {_times_sql("e", OUT, WIDTH, 7, 3, 11)} AS a,
+  {_times_sql("h", OUT, WIDTH, 5, 2, 7)} AS b FROM base),
+emb AS MATERIALIZED (SELECT node, list_transform(range({OUT}), lambda o: greatest(
+  a[o + 1] + b[o + 1] + (o % 3 - 1) / 10, 0)) AS e FROM own)"""
+
+
+def _sage(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return linkpred.sage_layer(edges, nodes, WIDTH, own_weight=_weights(OUT, WIDTH, 7, 3, 11),
+                               hood_weight=_weights(OUT, WIDTH, 5, 2, 7), bias=_bias(OUT))
+
+
+@query(f"""WITH {PAIRS}, {NODES}, {SAGE}
+SELECT node, pos::INT AS pos, round(x, 5) + 0.0::DOUBLE AS value
+FROM (SELECT node, unnest(range({OUT})) AS pos, unnest(e) AS x FROM emb)""")
+def sage_weights(t: Tables) -> DataFrame:
+    """A SAGE layer with weights for node and neighbours, and a bias."""
+    return _long(_sage(_symmetric(t), _nodes(t)), "node")
+
+
+def _norm_sql(vector: str, rows: int) -> str:
+    """Bias, batch norm with stored values, ReLU, element by element, in SQL."""
+    return f"""list_transform(range({rows}), lambda o: greatest(
+  ({vector}[o + 1] + (o % 3 - 1) / 10 - (o % 5) / 10) / sqrt(1 + o % 2 + 0.00001)
+  * (1 + (o % 4) / 10) + (o % 2 - 0.5) / 10, 0))"""
+
+
+def _mlp(rows: int, columns: int, a: int, b: int, modulus: int) -> dict:
+    o = np.arange(rows)
+    return {"weight": _weights(rows, columns, a, b, modulus), "bias": _bias(rows),
+            "mean": (o % 5) / 10, "var": 1 + o % 2, "gamma": 1 + (o % 4) / 10,
+            "beta": (o % 2 - 0.5) / 10}
+
+
+@query(f"""WITH {PAIRS}, {NODES}, {HOOD.format("sum")},
+s AS (SELECT node, list_transform(range({WIDTH}), lambda i: e[i + 1] * 1.1 + h[i + 1]) AS e FROM base),
+l1 AS (SELECT node, {_times_sql("e", OUT, WIDTH, 7, 3, 11)} AS e FROM s),
+l2 AS (SELECT node, {_norm_sql("e", OUT)} AS e FROM l1),
+l3 AS (SELECT node, {_times_sql("e", OUT, OUT, 5, 2, 7)} AS e FROM l2),
+l4 AS (SELECT node, {_norm_sql("e", OUT)} AS e FROM l3)
+SELECT node, pos::INT AS pos, round(x, 5) + 0.0::DOUBLE AS value
+FROM (SELECT node, unnest(range({OUT})) AS pos, unnest(e) AS x FROM l4)""")
+def gin_mlp(t: Tables) -> DataFrame:
+    """A GIN layer with two linear steps, each with batch norm and ReLU."""
+    layer = linkpred.gin_layer(_symmetric(t), _nodes(t), WIDTH, eps=0.1, mlp=[
+        _mlp(OUT, WIDTH, 7, 3, 11), _mlp(OUT, OUT, 5, 2, 7)])
+    return _long(layer, "node")
+
+
+@query(f"""WITH {PAIRS}, {NODES}, {SAGE}, near AS (SELECT src, dst FROM sym),
+sc AS (SELECT a.node AS target, b.node, round({DOT.format("a.e", "b.e")}, 9) AS dot
+  FROM emb a, emb b WHERE a.node % 20 = 0 AND a.node <> b.node),
+free AS (SELECT sc.* FROM sc ANTI JOIN near ON near.src = sc.target AND near.dst = sc.node),
+k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY dot DESC, node)::INT AS rank FROM free)
+SELECT target, rank, node, p_name AS name, round(1 / (1 + exp(-dot)), 5) AS score
+FROM k JOIN part ON node = p_partkey WHERE rank <= 10""")
+def predict_partners(t: Tables) -> DataFrame:
+    """The ten likeliest new partners, with names, of every author whose number is
+    divisible by 20, from embeddings of a SAGE layer over the whole graph."""
+    edges = materialize(_symmetric(t), "edges")
+    targets = t.part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("node"))
+    names = t.part.select(F.col("p_partkey").alias("ix"), F.col("p_name").alias("term"))
+    made = partners.predict_partners(_nodes(t), edges, targets,
+                                     [lambda nodes: _sage(edges, nodes)], names)
+    return made.withColumn("score", F.round("score", 5))
+
+
 def _training_pairs(t: Tables) -> DataFrame:
     """Labelled pairs of the whole graph with their split, written once."""
     edges = materialize(_undirected(t).select("src", "dst"), "edges")
