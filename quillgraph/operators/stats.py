@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.columns import last_count, team, total_count
+from quillgraph.operators.ordering import running_sum
+from quillgraph.session import materialize
 
 
 def dataset_size(df: DataFrame) -> DataFrame:
@@ -101,16 +103,44 @@ def histogram(df: DataFrame, column: str, width: float = 1.0) -> DataFrame:
 
 
 def box_summary(df: DataFrame, column: str) -> DataFrame:
-    """Exact minimum, quartiles and maximum.
+    """Exact minimum, quartiles (interpolated between neighbouring ranks) and maximum.
 
-    Values are counted first, so the percentile sees one row per distinct
-    value with its frequency.
+    Values are counted, and counts summed up in order over range partitions. The value of
+    a rank is then the smallest one whose running count exceeds it: a minimum, combined on
+    the map side. Nulls don't count.
     """
-    counted = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
-    return (counted.agg(F.min("v").alias("minimum"), q.alias("q"), F.max("v").alias("maximum"))
-            .select("minimum", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                    F.col("q")[2].alias("q3"), "maximum"))
+    counted = (df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"))
+               .agg(F.count(F.lit(1)).alias("n")))
+    placed = materialize(running_sum(counted, ["v"], ["n"], "box"), "box")
+    last = placed.select((F.max("cum_n") - 1).alias("last")).scalar()
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("cum_n") > rank, F.col("v")))
+
+    rows = placed.withColumn("_last", last)
+    parts = []
+    for name, share in quarters.items():
+        place = F.col("_last") * share
+        parts += [at(F.floor(place)).alias(f"{name}_low"), at(F.ceil(place)).alias(f"{name}_high"),
+                  F.max(place - F.floor(place)).alias(f"{name}_part")]
+    found = rows.agg(F.min("v").alias("minimum"), *parts, F.max("v").alias("maximum"))
+    return found.select("minimum", *[
+        (F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * F.col(f"{q}_part")).alias(q)
+        for q in quarters], "maximum")
+
+
+def distinct_sketches(rows: DataFrame, column: str, by: str, log_k: int = 14) -> DataFrame:
+    """``(by, sketch)``: a HyperLogLog sketch of the distinct values per slice, some 16 kB
+    each, to be stored beside the slices."""
+    return rows.groupBy(by).agg(F.hll_sketch_agg(column, log_k).alias("sketch"))
+
+
+def distinct_estimate(sketches: DataFrame, name: str = "n") -> DataFrame:
+    """The distinct values of all slices together, within about 2 %, from their sketches
+    alone; a new slice adds its sketch and no old row is read again."""
+    return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0))
+                        .cast("bigint").alias(name))
 
 
 def mean_by(df: DataFrame, key: str, *columns: str) -> DataFrame:

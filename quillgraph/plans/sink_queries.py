@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.hashing import below
-from quillgraph.operators import features, graph
+from quillgraph.operators import features, graph, stats
 from quillgraph.plans import overview
 from quillgraph.plans.catalog import EDGES, MENTIONS, query
 from quillgraph.plans.works_queries import CITATIONS, CONCEPT, COUNTRY, SLICE, work_lines
-from quillgraph.session import new_path
+from quillgraph.session import materialize, new_path
 from quillgraph.sinks import writers
-from quillgraph.sources import snapshot, tables
+from quillgraph.sources import inferred, snapshot, tables
 from quillgraph.sources import testtables as tt
 from quillgraph.sources.testtables import Tables
+from quillgraph.streaming import ingest
 from quillgraph.streaming.ingest import ingest_new
 
 ORDERS = "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"
@@ -155,3 +157,124 @@ def schema_inference(t: Tables) -> DataFrame:
     source = new_path(t.spark, "inference")
     work_lines(t).write.option("compression", "gzip").text(source)
     return snapshot.infer_schema(t.spark, source)
+
+
+# Small enough that the bound cuts at every scale factor.
+FILE_BYTES = 50_000
+
+
+@query("""SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total, 0::BIGINT AS too_large,
+  true AS cut, true AS well_filled FROM lineitem""")
+def sink_bounded_files(t: Tables) -> DataFrame:
+    """Line items in files bounded by bytes: rows, files over the bound, whether the bound
+    cuts, and whether there are at most twice as many files as the bytes need."""
+    target = new_path(t.spark, "bounded")
+    writers.write_bounded(t.lineitem, target, FILE_BYTES, zstd_level=3)
+    sizes = writers.file_sizes(t.spark, target).agg(
+        F.count_if(F.col("bytes") > FILE_BYTES).alias("too_large"),
+        (F.count(F.lit(1)) > 1).alias("cut"),
+        (F.count(F.lit(1)) <= 2 * F.ceil(F.sum("bytes") / FILE_BYTES)).alias("well_filled"))
+    rows = t.spark.read.parquet(target).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    # Two tables of one row.
+    return rows.withColumn("one", F.lit(1)).join(sizes.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def _deliver(rows: DataFrame, source: str, broken: DataFrame | None = None) -> None:
+    """Works as gz JSON lines, with lines that break off among them."""
+    rows.write.mode("append").option("compression", "gzip").json(source)
+    if broken is not None:
+        broken.write.mode("append").option("compression", "gzip").text(source)
+
+
+def _broken(names: DataFrame, column: str) -> DataFrame:
+    return names.select(F.concat(F.lit('{"id": "'), F.col(column)).alias("value"))
+
+
+@query("""SELECT (SELECT count(*) FROM orders) AS kept, (SELECT count(*) FROM customer) AS dropped,
+  (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS lines, true AS skipped""")
+def counted_drops(t: Tables) -> DataFrame:
+    """Works and broken lines counted in the pass that reads them, and files passed over."""
+    source = new_path(t.spark, "counted")
+    raw = tt.raw_works(t, ["counts_by_year"])
+    _deliver(raw, source, _broken(t.customer, "c_name"))
+    t.region.write.mode("append").json(source)  # not a gz file
+    rows, seen = snapshot.read_counted(t.spark, source)
+    kept = materialize(snapshot.compact_work(rows), "counted")
+    skipped = snapshot.skipped_files(t.spark, source).agg(
+        (F.count_if(F.col("path").endswith(".json")) > 0).alias("skipped"))
+    return kept.agg(F.count("id").alias("kept")).select(
+        "kept", F.lit(seen.get["dropped"]).alias("dropped"), F.lit(seen.get["lines"]).alias("lines"),
+        skipped.scalar().alias("skipped"))
+
+
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS batch, o_orderkey
+  FROM orders),
+b AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS batch, count(*) AS dropped
+  FROM customer GROUP BY 1)
+SELECT o.batch::BIGINT AS batch, count(*) AS works, count(DISTINCT o_orderkey) AS ids,
+  count(*) + any_value(dropped) AS lines, any_value(dropped) AS dropped
+FROM o JOIN b ON o.batch = b.batch GROUP BY 1""")
+def replayed_ingest(t: Tables) -> DataFrame:
+    """Two deliveries; each batch fails once between its files and its entry in the
+    manifest, and is taken again."""
+    source, target, state = (new_path(t.spark, n) for n in ("arriving", "batches", "state"))
+    raw = tt.raw_works(t, ["counts_by_year"])
+    number = F.element_at(F.split("id", "W"), -1).cast("bigint")
+
+    def lost(batch: int) -> None:
+        raise RuntimeError(f"batch {batch} is lost before it is entered")
+
+    for rest in (F.col("n") % 3 != 0, F.col("n") % 3 == 0):
+        _deliver(raw.withColumn("n", number).filter(rest).drop("n"), source,
+                 _broken(t.customer.withColumn("n", F.col("c_custkey")).filter(rest), "c_name"))
+        try:
+            ingest.ingest_batches(t.spark, source, target, state, zstd_level=3, before_commit=lost)
+        except StreamingQueryException:
+            pass
+        ingest.ingest_batches(t.spark, source, target, state, zstd_level=3)
+    works = ingest.read_ingested(t.spark, target).groupBy(F.col("batch").cast("bigint").alias("batch")) \
+        .agg(F.count(F.lit(1)).alias("works"), F.count_distinct("id").alias("ids"))
+    return works.join(ingest.manifest(t.spark, target), "batch")
+
+
+@query("""SELECT 'W' || o_orderkey AS id, '10.1000/' || o_orderkey AS doi,
+  'Order ' || o_orderkey AS title, strftime(o_orderdate, '%Y-%m-%d') AS publication_date,
+  coalesce(n, 0) AS authors, coalesce(c, 0) AS citations FROM orders LEFT JOIN (
+  SELECT l_orderkey, count(*) AS n, count(DISTINCT year(l_shipdate)) AS c FROM lineitem GROUP BY 1)
+  ON l_orderkey = o_orderkey
+UNION ALL SELECT 'N' || n_nationkey, NULL, n_nationkey::VARCHAR, '2020', 0, 1 FROM nation""")
+def inferred_ingest(t: Tables) -> DataFrame:
+    """Works read under the schema found in their lines; some lines hold numbers and texts
+    where others hold texts and lists."""
+    source = new_path(t.spark, "inferred")
+    odd = F.format_string('{"id": "N%d", "title": %d, "publication_date": 2020, "authorships": "none",'
+                          ' "counts_by_year": [{"year": "2020", "cited_by_count": "7"}], "more": {"x": 1}}',
+                          "n_nationkey", "n_nationkey")
+    _deliver(tt.raw_works(t, ["authorships", "counts_by_year"]), source,
+             t.nation.select(odd.alias("value")).unionByName(_broken(t.region, "r_name").select("value")))
+    works = snapshot.compact_work(inferred.read_inferred(t.spark, source))
+    return works.select("id", "doi", "title", "publication_date", *[
+        F.coalesce(F.size(c), F.lit(0)).cast("bigint").alias(c) for c in ("authors", "citations")])
+
+
+@query("""SELECT unnest(['authors', 'authors', 'works', 'works']) AS what,
+  unnest([1, 2, 1, 2])::INT AS deliveries, true AS within_3_percent""")
+def approximate_distinct(t: Tables) -> DataFrame:
+    """Distinct authors and works estimated from sketches of stored slices, before and after
+    a delivery adds slices; compared with exact counts."""
+    target = new_path(t.spark, "sketches")
+    rows = tables.with_slice(tt.mentions(t).withColumn("row_id", F.col("work")), step=SLICE)
+    first = F.col("slice_head") < t.orders.agg(F.max("o_orderkey") / 2).scalar()
+    out = None
+    for deliveries, part, seen in ((1, first, first), (2, ~first, F.lit(True))):
+        for what, column in (("authors", "author"), ("works", "work")):
+            writers.append(stats.distinct_sketches(rows.filter(part), column, "slice_head")
+                           .withColumn("what", F.lit(what)), target)
+            kept = t.spark.read.parquet(target).filter(F.col("what") == what)
+            exact = rows.filter(seen).agg(F.count_distinct(column).alias("exact"))
+            row = (stats.distinct_estimate(materialize(kept, "sketches"), "n")
+                   .select(F.lit(what).alias("what"), F.lit(deliveries).alias("deliveries"),
+                           (F.abs(F.col("n") / exact.scalar() - 1) <= 0.03).alias("within_3_percent")))
+            out = row if out is None else out.unionByName(row)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Iterable
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import graph_edges, graph_nodes
-from quillgraph.session import new_path
+from quillgraph.operators.ordering import running_sum
+from quillgraph.operators.skew import as_build_side
+from quillgraph.session import materialize, new_path
 
 # Level chosen for the published collection.
 ZSTD_LEVEL = 17
@@ -33,6 +36,53 @@ def write_parquet(df: DataFrame, target: str, *, mode: str = "overwrite",
     writer.parquet(target)
 
 
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``(name, bytes)`` of the Parquet files below a path, from their listing."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", "*.parquet").load(path))
+    return listed.select(F.element_at(F.split("path", "/"), -1).alias("name"),
+                         F.col("length").alias("bytes"))
+
+
+def write_bounded(df: DataFrame, target: str, max_bytes: int, *, codec: str | None = None,
+                  zstd_level: int | None = None, fill: float = 0.95, attempts: int = 6) -> int:
+    """Parquet files of at most ``max_bytes`` bytes as stored; returns how many.
+
+    A first write below the work folder shows how many bytes the rows of each of its files
+    take. A running sum of these gives every row its place in the whole, and the place its
+    file, so each output partition is one file of about ``fill`` of the bound. Should one
+    still be larger (rows of one file differ), the files are cut again, smaller. Rows keep
+    their order. A single row above the bound is an error.
+    """
+    spark = df.sparkSession
+    first = new_path(spark, "sized")
+    write_parquet(df, first, codec=codec, zstd_level=zstd_level)
+    rows = spark.read.schema(df.schema).parquet(first)
+    counted = rows.groupBy(F.col("_metadata.file_name").alias("name")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    sizes = counted.join(as_build_side(file_sizes(spark, first)), "name")
+    placed = running_sum(sizes, ["name"], ["bytes"], "file-places").select(
+        "name", (F.col("cum_bytes") - F.col("bytes")).alias("_before"),
+        (F.col("bytes") / F.col("rows")).alias("_each"))
+    placed = materialize(placed, "file-places")
+    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    at = rows.select("*", F.col("_metadata.file_name").alias("name"),
+                     F.col("_metadata.row_index").alias("_row"))
+    at = at.join(as_build_side(placed), "name").withColumn(
+        "_at", F.col("_before") + F.col("_row") * F.col("_each"))
+    for _ in range(attempts):
+        files = max(1, math.ceil(total / (max_bytes * fill)))
+        part = F.least(F.floor(F.col("_at") / F.lit(max_bytes * fill)), F.lit(files - 1))
+        out = at.repartitionById(files, part.cast("int")).sortWithinPartitions("_before", "_row")
+        write_parquet(out.select(*df.columns), target, codec=codec, zstd_level=zstd_level)
+        written, largest = file_sizes(spark, target).agg(
+            F.count(F.lit(1)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+        if largest <= max_bytes:
+            return written
+        fill *= 0.95 * max_bytes / largest
+    raise ValueError(f"files of at most {max_bytes} bytes can't hold these rows: {largest} needed")
+
+
 def write_slices(df: DataFrame, target: str, zstd_level: int = ZSTD_LEVEL) -> None:
     """One folder per ``slice_head``; writing a slice again replaces just that slice."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,14 +22,50 @@ def read_snapshot(spark: SparkSession, source: str | list[str], *,
     gz files cannot be split, so parallelism equals the number of files.
     ``partitions`` spreads the rows again when the files are few and large.
     """
-    df = (spark.read.schema(schema)
-          .option("mode", "DROPMALFORMED")
-          .option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", pattern)
-          .json(source))
+    df = json_options(spark.read, pattern, schema=schema).json(source)
     return df.repartition(partitions) if partitions else df
 
 
+# Holds the text of a line that doesn't parse while lines are counted.
+CORRUPT = "_corrupt_line"
+
+
+def json_options(reader, pattern: str = "*.gz", *, schema: T.StructType, counted: bool = False):
+    """The options that batch and streaming readers of JSON lines share."""
+    reader = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+              .option("mode", "PERMISSIVE" if counted else "DROPMALFORMED"))
+    if not counted:
+        return reader.schema(schema)
+    whole = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return reader.schema(whole).option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def count_dropped(rows: DataFrame, seen: Observation) -> DataFrame:
+    """``rows`` without the lines that don't parse; ``seen`` gets ``lines`` and ``dropped``
+    of the same pass, once an action has run."""
+    return (rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count(CORRUPT).alias("dropped"))
+            .filter(F.col(CORRUPT).isNull()).drop(CORRUPT))
+
+
+def read_counted(spark: SparkSession, source: str | list[str], *, schema: T.StructType = RAW_WORK,
+                 pattern: str = "*.gz") -> tuple[DataFrame, Observation]:
+    """Like :func:`read_snapshot`, with the count of lines and of dropped ones: after the
+    first action on the rows ``observation.get`` holds ``lines`` and ``dropped``. Blank
+    lines are no lines."""
+    seen = Observation("snapshot-lines")
+    rows = json_options(spark.read, pattern, schema=schema, counted=True).json(source)
+    return count_dropped(rows, seen), seen
+
+
+def skipped_files(spark: SparkSession, source: str | list[str], pattern: str = "*.gz") -> DataFrame:
+    """``(path, bytes)`` of the files in the folders that ``pattern`` leaves out."""
+    def listed(**options: str) -> DataFrame:
+        return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                .options(**options).load(source).select("path", F.col("length").alias("bytes")))
+
+    return listed().join(listed(pathGlobFilter=pattern).select("path"), "path", "left_anti")
+
+
 def read_lines(spark: SparkSession, source: str | list[str], pattern: str = "*.gz") -> DataFrame:
     """The raw text lines of the same files, one ``value`` each."""
     return (spark.read.option("recursiveFileLookup", "true")
