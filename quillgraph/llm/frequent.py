@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import id_and_text, small_batches
+from quillgraph.operators.skew import skew_join
 from quillgraph.session import materialize, new_path
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -186,9 +187,9 @@ def repeated(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = L
         held = held.union(more)
     last = F.max(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     often = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), last.alias("last")) \
-        .where(F.col("n") >= least_docs).select(F.col("digest").alias("key"), "last")
-    return held.join(often.hint("merge"), F.col("digest") == F.col("key")) \
-        .where(~F.col("doc_id").eqNullSafe(F.col("last.doc_id"))).select("doc_id", "digest")
+        .where(F.col("n") >= least_docs).select("digest", "last")
+    return skew_join(held, often, "digest").where(
+        ~F.col("doc_id").eqNullSafe(F.col("last.doc_id"))).select("doc_id", "digest")
 
 
 def dedup(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS,

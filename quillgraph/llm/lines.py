@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import id_and_text, small_batches
+from quillgraph.operators.skew import skew_join
 from quillgraph.session import materialize
 
 # Removed words in a row that make a passage; short lines repeat by chance.
@@ -82,10 +83,10 @@ def repeats(found: DataFrame) -> DataFrame:
     first_line. Null ids come last."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line")
     firsts = found.groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")) \
-        .where("n > 1").select(F.col("digest").alias("key"), "first")
-    joined = found.join(firsts.hint("merge"), F.col("digest") == F.col("key"))
-    return joined.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
-                          & (F.col("line") == F.col("first.line")))) \
+        .where("n > 1").select("digest", "first")
+    return skew_join(found, firsts, "digest").where(
+        ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+          & (F.col("line") == F.col("first.line")))) \
         .select("doc_id", "line", "last", F.col("first.doc_id").alias("first_doc"),
                 F.col("first.line").alias("first_line"))
 
