@@ -34,7 +34,7 @@ from quillgraph.session import materialize
 
 TOP = 20
 QUERY_BLOCK = 2_000  # queries whose terms and pairs travel with the tasks, about
-SHARD_DOCS, SHARD_POSTINGS = 16_000, 2_000_000
+SHARD_DOCS, SHARD_POSTINGS = 8_000, 1_000_000
 BATCH_BYTES = 4 << 20
 _COUNTS = "doc_id long, n long, terms array<int>, tfs array<int>"
 _INDEX = "shard long, kind int, a int, b int, docs binary, impacts binary, best array<long>"
