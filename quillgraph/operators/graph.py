@@ -116,6 +116,28 @@ def enrich(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str,
     return spread.join(packed, same, "left").drop("_key", "_piece")
 
 
+def keep_keyed(works: DataFrame, key: str, table: str, path: str, buckets: int = 200,
+               name: str = "alex") -> DataFrame:
+    """Store one work per ``key`` (the smallest, as :func:`enrich` chooses) as a table in
+    sorted buckets of the key, and read it: what is joined to it by key moves, it doesn't."""
+    packed = (works.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+              .agg(F.min(F.struct(*works.columns)).alias(name)))
+    (packed.repartition(buckets, "_key").write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "_key").sortBy("_key").saveAsTable(table))
+    return works.sparkSession.read.table(table)
+
+
+def enrich_kept(papers: DataFrame, kept: DataFrame, paper_key: str, name: str = "alex") -> DataFrame:
+    """:func:`enrich` against a table of :func:`keep_keyed`, without a shuffle of its works.
+    Papers that have ``name`` already, or no key, are passed by."""
+    if name not in papers.columns:
+        papers = papers.withColumn(name, F.lit(None).cast(kept.schema[name].dataType))
+    wanted = F.col(name).isNull() & F.col(paper_key).isNotNull()
+    asked = papers.filter(wanted).drop(name)
+    found = asked.join(kept.hint("merge"), F.col(paper_key) == F.col("_key"), "left").drop("_key")
+    return found.unionByName(papers.filter(~wanted))
+
+
 def not_found(papers: DataFrame, works: DataFrame, paper_key: str, work_key: str) -> DataFrame:
     """Papers without a matching work. Papers without a key need no join."""
     keys = works.select(F.col(work_key).alias("_key"))

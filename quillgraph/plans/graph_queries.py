@@ -524,6 +524,29 @@ def link_model_scores(t: Tables) -> DataFrame:
     return scored.select("src", "dst", "label", "score")
 
 
+@query(f"""WITH {PAIRS}, {HARD}, drawn_pairs AS (
+  SELECT src, dst, 1 AS label FROM und UNION ALL
+  SELECT src, dst, 0 FROM neg WHERE ix < (SELECT count(*) FROM und)),
+h AS (SELECT *, {hash32("'edge:' || src || ':' || dst")} AS h FROM drawn_pairs)
+SELECT src, dst, label, true AS better_than_chance FROM h WHERE h >= {int(round(0.9 * 2**32))}""")
+def link_model_test(t: Tables) -> DataFrame:
+    """Test pairs and labels of a model of two neighbour hops, trained by Newton steps and
+    chosen by its validation AUC; and whether its AUC on these pairs is above 0.5."""
+    pairs = _training_pairs(t)
+    train = pairs.filter((F.col("split") == "train") & (F.col("label") == 1))
+    known = train.select("src", "dst").unionByName(
+        train.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    nodes = linkpred.graph_features(known, _nodes(t), WIDTH, 2, materialize)
+
+    def part(split: str) -> DataFrame:
+        return linkpred.gather(pairs.filter(F.col("split") == split), nodes)
+
+    weights, _ = linkpred.best_newton(part("train"), part("val"), ["src", "dst"], WIDTH)
+    scored = materialize(linkpred.newton_scores(part("test"), weights), "scored")
+    area = metrics.roc_auc(scored.select("label", "score")).select(F.col("roc_auc") > 0.5).scalar()
+    return scored.select("src", "dst", "label", area.alias("better_than_chance"))
+
+
 @query("""WITH x AS (SELECT quality = 1 AS y, toxic = 0 AS p FROM labels),
 c AS (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp,
   count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from quillgraph.functions.spec import Leaf, extract
 from quillgraph.operators import graph, sampling, stats
 from quillgraph.operators.ordering import dense_index
 from quillgraph.plans.catalog import MENTIONS, SELECTED, hash32, query
+from quillgraph.session import materialize, new_path
+from quillgraph.sinks import writers
 from quillgraph.sources import snapshot, tables
 from quillgraph.sources import testtables as tt
 from quillgraph.sources.testtables import Tables
@@ -246,6 +250,18 @@ def title_search(t: Tables) -> DataFrame:
     return tables.title_search(t.documents, TITLE_WORDS, "text").select("doc_id", "source")
 
 
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query("SELECT doc_id FROM documents WHERE " + " AND ".join(
+    f"list_contains({WORDS}, '{w}')" for w in TITLE_WORDS.split()))
+def word_search(t: Tables) -> DataFrame:
+    """Documents with both whole words, from a stored index of words."""
+    target = new_path(t.spark, "word-index")
+    tables.write_word_index(t.documents, target, key="doc_id", column="text")
+    return tables.word_search(t.spark, target, TITLE_WORDS, key="doc_id")
+
+
 def _papers(t: Tables) -> DataFrame:
     """Papers with a DOI; those of filled orders have a blank one."""
     doi = F.concat(F.lit(tt.DOI_STEM), F.col("o_orderkey").cast("string"))
@@ -287,6 +303,26 @@ def enrich_missing(t: Tables) -> DataFrame:
     return graph.not_found(papers, known, "key", "work_key").select("paper", "arxiv_doi")
 
 
+@query("""SELECT o_orderkey AS paper, '10.1000/' || l_orderkey AS doi, n AS n_authors,
+  CASE WHEN l_orderkey IS NULL THEN NULL WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END::INT AS delivery
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+  ON o_orderkey = l_orderkey AND o_orderstatus <> 'F'""")
+def enrich_again(t: Tables) -> DataFrame:
+    """Two deliveries of papers against works kept in buckets; the second holds the papers
+    of the first, which are attached already, and new ones."""
+    name = f"kept_{uuid.uuid4().hex}"
+    known = _keyed(_known_works(t), "doi").withColumnRenamed("key", "work_key")
+    kept = graph.keep_keyed(known, "work_key", name, new_path(t.spark, "kept-works"), 16)
+    papers = _keyed(_papers(t), "arxiv_doi")
+    first = graph.enrich_kept(papers.filter("paper % 2 = 0"), kept, "key")
+    first = materialize(first.withColumn("delivery", F.when(F.col("alex").isNotNull(), 1)), "attached")
+    second = papers.filter("paper % 2 = 1").withColumns({
+        "alex": F.lit(None).cast(first.schema["alex"].dataType), "delivery": F.lit(None).cast("int")})
+    done = graph.enrich_kept(first.unionByName(second), kept, "key").withColumn(
+        "delivery", F.coalesce("delivery", F.when(F.col("alex").isNotNull(), 2)))
+    return done.select("paper", "alex.doi", "alex.n_authors", "delivery")
+
+
 def _order_works(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_totalprice")
 
@@ -352,3 +388,14 @@ def dense_numbering(t: Tables) -> DataFrame:
     """Total order without a single-task window."""
     return dense_index(t.orders.select("o_orderkey", "o_totalprice"),
                        [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "ix")
+
+
+@query(f"""SELECT o_orderkey AS row_id, o_totalprice FROM orders
+WHERE o_orderkey >= {SLICE // 2} AND o_orderkey < {SLICE + 7}""")
+def slice_range(t: Tables) -> DataFrame:
+    """A half-open range of rows, read from the folders of its slices only."""
+    target = new_path(t.spark, "sliced")
+    rows = tables.with_slice(t.orders.withColumn("row_id", F.col("o_orderkey")), step=SLICE)
+    writers.write_slices(rows.select("row_id", "o_totalprice", "slice_head"), target, 3)
+    return tables.read_slice_range(t.spark, target, SLICE // 2, SLICE + 7, step=SLICE).select(
+        "row_id", "o_totalprice")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,14 @@ def read_slice(df: DataFrame, head: int, tail: int, row_id: str = "row_id") -> D
     return df.filter((F.col(row_id) >= head) & (F.col(row_id) < tail))
 
 
+def read_slice_range(spark: SparkSession, path: str, head: int, tail: int,
+                     row_id: str = "row_id", step: int = SLICE_ROWS) -> DataFrame:
+    """Rows of [head, tail) from a collection stored by ``slice_head``: the range of rows
+    is also a range of folders, and only these are listed and read."""
+    folders = (F.col("slice_head") >= head - head % step) & (F.col("slice_head") < tail)
+    return read_slice(spark.read.parquet(path).filter(folders), head, tail, row_id)
+
+
 def with_slice(df: DataFrame, row_id: str = "row_id", step: int = SLICE_ROWS) -> DataFrame:
     """Add ``slice_head``, the first row id of each row's slice."""
     return df.withColumn("slice_head", F.col(row_id) - F.pmod(F.col(row_id), F.lit(step)))
@@ -82,6 +92,42 @@ def lookup_terms(rows: DataFrame, vocabulary: DataFrame, ix: str, term: str = "t
     return rows.join(terms.join(as_build_side(asked), ix, "left_semi"), ix, "left")
 
 
+# Folders of a word index; a word's folder follows from its hash.
+WORD_BUCKETS = 64
+
+
+def _bucket(word: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+
+
+def write_word_index(works: DataFrame, target: str, *, key: str = "id", column: str = "title",
+                     buckets: int = WORD_BUCKETS, splits: int = 4) -> None:
+    """``(bucket, word, key)``: the distinct words (runs of letters and digits, lower case)
+    of each work, in folders by bucket, sorted by word in every file, so that a reader
+    skips folders, and row groups by their word range. ``splits`` tasks share a bucket, so
+    that a word of a third of all works is not one task's."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}]+)")))
+    rows = works.select(key, F.explode(words).alias("word")).withColumn(
+        "bucket", _bucket(F.col("word"), buckets))
+    (rows.repartition(buckets * splits, "bucket", F.pmod(F.xxhash64(key), F.lit(splits)))
+     .sortWithinPartitions("bucket", "word").write.mode("overwrite")
+     .partitionBy("bucket").parquet(target))
+
+
+def word_search(spark: SparkSession, index: str, text: str, *, key: str = "id",
+                buckets: int = WORD_BUCKETS) -> DataFrame:
+    """Keys of the works that have every word of ``text`` as a whole word, found by
+    counting the asked words per work; only the words' own lists are read."""
+    words = sorted(set(re.findall(r"[^\W_]+", text.lower())))
+    if not words:
+        return spark.read.parquet(index).select(key).limit(0)
+    asked = F.lit(False)
+    for word in words:
+        asked = asked | ((F.col("bucket") == _bucket(F.lit(word), buckets)) & (F.col("word") == word))
+    found = spark.read.parquet(index).filter(asked).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return found.filter(F.col("n") == len(words)).select(key)
+
+
 def title_search(works: DataFrame, text: str, column: str = "title") -> DataFrame:
     """Works whose title contains every word of ``text`` (also inside a word), ignoring case."""
     found = F.lit(True)

@@ -6,6 +6,7 @@ import glob
 import gzip
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions import vectors as V
-from quillgraph.operators import linkpred, partners, stats
+from quillgraph.operators import graph, linkpred, partners, stats
 from quillgraph.plans import graph_queries, works_queries
 from quillgraph.sinks import writers
-from quillgraph.sources import inferred, snapshot
+from quillgraph.sources import inferred, snapshot, tables
 from quillgraph.sources.testtables import Tables
 from quillgraph.streaming import ingest
 
@@ -231,3 +232,68 @@ def test_sketches_of_slices_merge(spark):
     assert sketches.count() == 3
     assert abs(stats.distinct_estimate(sketches).first()["n"] / 9_000 - 1) < 0.03
     assert stats.distinct_estimate(sketches.limit(0)).first()["n"] == 0
+
+
+# --- words, slices, kept works ---------------------------------------------------------------------
+
+def test_word_index_finds_whole_words_from_their_lists(spark, tmp_path):
+    titles = [(1, "Deep sea life"), (2, "Life, deep down: the SEA!"), (3, "seaside life deep"), (4, None),
+              (5, ""), (6, "sea sea deep Été2 life")]
+    index = str(tmp_path / "index")
+    tables.write_word_index(spark.createDataFrame(titles, "id int, title string"), index, buckets=8)
+
+    def found(text):
+        return sorted(r["id"] for r in tables.word_search(spark, index, text, buckets=8).collect())
+
+    assert found("sea LIFE deep") == [1, 2, 6] and found("été2") == [6] and found("seas") == []
+    assert found(" ,") == [] and found("sea sea") == [1, 2, 6]
+    plan = tables.word_search(spark, index, "sea", buckets=8)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(word,sea\)", plan)
+    assert "ReadSchema: struct<id:int,word:string>" in plan
+
+
+def test_slice_range_reads_its_folders_only(spark, tmp_path):
+    target = str(tmp_path / "s")
+    rows = tables.with_slice(spark.range(95).withColumnRenamed("id", "row_id"), step=10)
+    writers.write_slices(rows, target, 3)
+    got = tables.read_slice_range(spark, target, 17, 40, step=10)
+    assert sorted(r["row_id"] for r in got.collect()) == list(range(17, 40))
+    assert sorted(r[0] for r in got.select("slice_head").distinct().collect()) == [10, 20, 30]
+    assert re.search(r"PartitionFilters: \[[^\]]*slice_head", got._jdf.queryExecution().toString())
+    assert tables.read_slice_range(spark, target, 20, 20, step=10).count() == 0
+
+
+def test_kept_works_do_not_move(spark, tmp_path):
+    works = spark.createDataFrame([("a", 2), ("a", 1), ("b", 5), (None, 9)], "doi string, n int")
+    kept = graph.keep_keyed(works, "doi", "kept_works_test", str(tmp_path / "kept"), 4)
+    papers = spark.createDataFrame([(1, "a"), (2, "c"), (3, None), (4, "b")], "paper int, key string")
+    done = graph.enrich_kept(papers, kept, "key")
+    assert {r["paper"]: r["alex"] and r["alex"]["n"] for r in done.collect()} == {1: 1, 2: None, 3: None, 4: 5}
+    again = graph.enrich_kept(done.withColumn("alex", F.when(F.col("paper") == 1, F.col("alex"))), kept, "key")
+    assert {r["paper"]: r["alex"] and r["alex"]["n"] for r in again.collect()} == {1: 1, 2: None, 3: None, 4: 5}
+    plan = done._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 1  # the papers' side only
+    assert "Exchange" not in plan[plan.index("kept_works_test") - 200:plan.index("kept_works_test")]
+
+
+# --- a trainer whose weights don't depend on the run -------------------------------------------------
+
+def test_newton_weights_are_the_same_on_every_partitioning(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 3))
+    label = (rng.random(900) < 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.0] + 0.5)))).astype(int)
+    rows = [(i, v.tolist(), [1.0] * 3, int(y)) for i, (v, y) in enumerate(zip(x, label))]
+    made = []
+    for parts in (1, 7):
+        pairs = spark.createDataFrame(rows, "id long, a array<double>, b array<double>, label int") \
+            .repartition(parts)
+        made.append(linkpred.train_newton(linkpred.newton_rows(pairs, ["id"], 100), ["id"], 3, 1e-6))
+    assert (made[0] == made[1]).all()
+    full = np.hstack([x, np.ones((900, 1))])
+    chance = 1 / (1 + np.exp(-full @ made[0]))
+    assert np.abs(full.T @ (chance - label)).max() < 1e-3  # at the optimum
+    weights, area = linkpred.best_newton(pairs, pairs, ["id"], 3)
+    assert area > 0.8
+    scored = linkpred.newton_scores(pairs, weights).toPandas().set_index("id").loc[range(900)]
+    assert np.allclose(scored["score"], 1 / (1 + np.exp(-full @ weights)))
