@@ -530,18 +530,23 @@ def link_model_scores(t: Tables) -> DataFrame:
 h AS (SELECT *, {hash32("'edge:' || src || ':' || dst")} AS h FROM drawn_pairs)
 SELECT src, dst, label, true AS better_than_chance FROM h WHERE h >= {int(round(0.9 * 2**32))}""")
 def link_model_test(t: Tables) -> DataFrame:
-    """Test pairs and labels of a model of two neighbour hops, trained by Newton steps and
-    chosen by its validation AUC; and whether its AUC on these pairs is above 0.5."""
+    """Test pairs and labels of a model of two neighbour hops and the number of partners,
+    trained by Newton steps and chosen by its validation AUC; and whether its AUC on these
+    pairs is above 0.5."""
     pairs = _training_pairs(t)
     train = pairs.filter((F.col("split") == "train") & (F.col("label") == 1))
     known = train.select("src", "dst").unionByName(
         train.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    nodes = linkpred.graph_features(known, _nodes(t), WIDTH, 2, materialize)
+    hops = linkpred.graph_features(known, _nodes(t), WIDTH, 2, materialize)
+    degree = F.log1p(F.coalesce("degree", F.lit(0)).cast("double"))
+    nodes = materialize(
+        hops.join(graph.degrees(known).withColumnRenamed("src", "node"), "node", "left")
+        .select("node", F.concat("features", F.array(degree)).alias("features")), "nodes")
 
     def part(split: str) -> DataFrame:
         return linkpred.gather(pairs.filter(F.col("split") == split), nodes)
 
-    weights, _ = linkpred.best_newton(part("train"), part("val"), ["src", "dst"], WIDTH)
+    weights, _ = linkpred.best_newton(part("train"), part("val"), ["src", "dst"], WIDTH + 1)
     scored = materialize(linkpred.newton_scores(part("test"), weights), "scored")
     area = metrics.roc_auc(scored.select("label", "score")).select(F.col("roc_auc") > 0.5).scalar()
     return scored.select("src", "dst", "label", area.alias("better_than_chance"))
