@@ -10,8 +10,9 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillgraph.llm import frequent, lexical, lines, queries, turns
+from quillgraph.llm import frequent, lexical, lines, queries, rules, turns
 
 SF = "/root/testdata/sf0.001"
 
@@ -384,3 +385,36 @@ def test_short_lines_and_wrapped_paragraphs(spark):
             if p in " ".join(text.split()):
                 assert (got[i][3] >= 1) == (p in first)
                 first.setdefault(p, i)
+
+
+# --- 9 the cascade ------------------------------------------------------------------------------
+
+def test_a_rejected_document_meets_no_later_rule(spark):
+    docs = spark.createDataFrame([(1, "few words"), (2, "")], "doc_id long, text string")
+    few = rules.Rule("few", lambda t: F.length(t) < 50)
+    boom = rules.Rule("boom", lambda t: F.raise_error(F.lit("evaluated")).isNotNull())
+    short = rules.cascade([{"rule": few}, {"rule": boom}], lambda r: r.rejects(F.col("text")))
+    assert {r[0] for r in docs.select(short).collect()} == {"few"}
+    other = rules.cascade([{"rule": boom}, {"rule": few}], lambda r: r.rejects(F.col("text")))
+    with pytest.raises(Exception, match="evaluated"):
+        docs.select(other).collect()
+
+
+def test_cheap_and_telling_rules_come_first(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 20) for i in range(3_000)], "doc_id long, text string")
+    half = lambda t: F.crc32(t) % 2 == 0
+    slow = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(3_000)), F.length(t), lambda s, x: s + x) > 0
+    given = (rules.Rule("slow", lambda t: slow(t) & half(t)), rules.Rule("useless", lambda t: F.length(t) < 0),
+             rules.Rule("cheap", half))
+    for _ in range(2):  # on every run
+        assert [s["rule"].name for s in rules.plan(docs, given)] == ["cheap", "slow", "useless"]
+
+
+def test_query_computes_what_is_not_reported_inside_the_cascade(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    optimised = rules.judge(docs)._jdf.queryExecution().optimizedPlan().toString()
+    for text in (r"\P{Lu}+", "[^!]+"):
+        assert text in optimised
+        for line in optimised.splitlines():
+            if text in line:
+                assert line.index("CASE WHEN") < line.index(text)
