@@ -29,7 +29,9 @@ SAMPLE_ROWS = 12_000  # labelled documents that the fit may use, about
 LEAST_DOCS = 4        # sampled documents a term must occur in to get a vector
 LEAST_CHI = 8.0       # and how far from chance, to get a weight too
 RATE, L1, L2 = 1.0, 1.0, 0.01
-EPOCHS = 8
+EPOCHS, BATCH = 8, 128
+# Vectors are fitted after the weights, on what these leave open.
+VECTOR_EPOCHS, VECTOR_BATCH, VECTOR_START, VECTOR_RATE, VECTOR_L2 = 6, 32, 0.1, 0.1, 1e-4
 THRESHOLD = 0.7
 BATCH_BYTES = 4 << 20
 _WORD = re.compile(r"\w+")
@@ -67,7 +69,8 @@ class Machine:
 
     def margins(self, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of documents given as runs of ``slots``; run i begins at starts[i]. Pairs
-        count by 1 / (number of the document's terms), so that length adds no weight."""
+        count by 1 / root of the number of the document's terms: chance products of a long
+        document don't add up, and a telling pair still shows among hundreds of terms."""
         return self.bias + _parts(self.weights, self.vectors, slots, starts)[0]
 
 
@@ -82,7 +85,7 @@ def _parts(weights, vectors, slots, starts):
         sums[full] = np.add.reduceat(own, starts[full], axis=0)
         linear[full] = np.add.reduceat(weights[slots], starts[full])
         squares[full] = np.add.reduceat((own * own).sum(1), starts[full])
-    scale = 1.0 / np.maximum(counts, 1)
+    scale = 1.0 / np.sqrt(np.maximum(counts, 1))
     return linear + 0.5 * scale * ((sums * sums).sum(1) - squares), sums, scale, counts
 
 
@@ -102,9 +105,11 @@ def _telling(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray
 
 
 def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
-          factors: int = FACTORS, seed: int = 7) -> Machine:
-    """Logistic loss over small batches: proximal steps with an L1 penalty for the
-    weights (terms that tell nothing end at 0), AdaGrad for the vectors."""
+          factors: int = FACTORS, seed: int = 7, vector_epochs: int = VECTOR_EPOCHS) -> Machine:
+    """Logistic loss over small batches, in two stages. First the weights and the bias:
+    proximal steps with an L1 penalty (terms that tell nothing end at 0). Then, with these
+    fixed, the vectors by AdaGrad: they take up what pairs of terms tell beyond the sum of
+    the weights."""
     lengths = np.array([len(t) for t in terms], np.int64)
     flat = np.concatenate(terms) if len(terms) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(terms)), lengths)
@@ -116,40 +121,67 @@ def train(terms: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS,
     begins = np.searchsorted(owner, np.arange(len(terms) + 1))
     rng = np.random.default_rng(seed)
     n = len(buckets)
-    weights, vectors = np.zeros(n), rng.normal(0, 0.01, (n, factors))
-    pulls, sizes, step_v = np.zeros(n), np.zeros(n), np.full((n, factors), 1e-2)
-    bias, step_b = -2.0, 1.0
-    for _ in range(epochs if len(terms) else 0):
-        order = rng.permutation(len(terms))
-        for low in range(0, len(order), 128):
-            rows = order[low:low + 128]
-            parts = [flat[begins[r]:begins[r + 1]] for r in rows]
-            slots = np.concatenate(parts)
-            counts = np.array([len(p) for p in parts])
-            starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            margin, sums, scale, _ = _parts(weights, vectors, slots, starts)
-            error = 1 / (1 + np.exp(-np.clip(bias + margin, -30, 30))) - labels[rows]
-            if len(slots):  # a batch may have rare terms only
-                each = np.repeat(error, counts)
-                used, at = np.unique(slots, return_inverse=True)
-                grad = np.bincount(at, each, len(used))
-                grown = sizes[used] + grad * grad
-                pulls[used] += grad - (np.sqrt(grown) - np.sqrt(sizes[used])) / RATE * weights[used]
-                sizes[used] = grown
-                z = pulls[used]
-                weights[used] = np.where((np.abs(z) <= L1) | ~telling[used], 0.0, -(z - np.sign(z) * L1) / (
-                    (1.0 + np.sqrt(grown)) / RATE + L2))
-                pull = np.repeat(error * scale, counts)[:, None] * (
-                    np.repeat(sums, counts, axis=0) - vectors[slots])
-                grad_v = np.stack([np.bincount(at, pull[:, f], len(used)) for f in range(factors)], 1)
-                grad_v += 1e-4 * vectors[used]
-                step_v[used] += grad_v * grad_v
-                vectors[used] -= 0.05 * grad_v / np.sqrt(step_v[used])
-            step_b += error.sum() ** 2
-            bias -= 0.5 * error.sum() / np.sqrt(step_b)
+
+    def batches(times: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rows, their slots in a row, where each row begins, and its number of slots."""
+        for _ in range(times if len(terms) else 0):
+            order = rng.permutation(len(terms))
+            for low in range(0, len(order), size):
+                rows = order[low:low + size]
+                parts = [flat[begins[r]:begins[r + 1]] for r in rows]
+                counts = np.array([len(p) for p in parts])
+                yield rows, np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)[:-1]]), counts
+
+    weights, vectors = np.zeros(n), rng.normal(0, VECTOR_START, (n, factors))
+    bias = _fit_weights(weights, telling, labels, batches(epochs, BATCH))
+    _fit_vectors(vectors, weights, bias, labels, batches(vector_epochs, VECTOR_BATCH))
     return Machine(bias, weights, vectors, {int(b): i for i, b in enumerate(buckets)})
 
 
+def _errors(margin: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels
+
+
+def _fit_weights(weights: np.ndarray, telling: np.ndarray, labels: np.ndarray,
+                 batches: Iterator[tuple[np.ndarray, ...]]) -> float:
+    """Fits ``weights`` in place; returns the bias."""
+    pulls, sizes = np.zeros(len(weights)), np.zeros(len(weights))
+    bias, step = -2.0, 1.0
+    nothing = np.zeros((len(weights), 0))
+    for rows, slots, starts, counts in batches:
+        error = _errors(bias + _parts(weights, nothing, slots, starts)[0], labels[rows])
+        if len(slots):  # a batch may have rare terms only
+            used, at = np.unique(slots, return_inverse=True)
+            grad = np.bincount(at, np.repeat(error, counts), len(used))
+            grown = sizes[used] + grad * grad
+            pulls[used] += grad - (np.sqrt(grown) - np.sqrt(sizes[used])) / RATE * weights[used]
+            sizes[used] = grown
+            z = pulls[used]
+            weights[used] = np.where((np.abs(z) <= L1) | ~telling[used], 0.0, -(z - np.sign(z) * L1) / (
+                (1.0 + np.sqrt(grown)) / RATE + L2))
+        step += error.sum() ** 2
+        bias -= 0.5 * error.sum() / np.sqrt(step)
+    return bias
+
+
+def _fit_vectors(vectors: np.ndarray, weights: np.ndarray, bias: float, labels: np.ndarray,
+                 batches: Iterator[tuple[np.ndarray, ...]]) -> None:
+    """Fits ``vectors`` in place."""
+    steps = np.full(vectors.shape, 1e-2)
+    for rows, slots, starts, counts in batches:
+        if not len(slots):
+            continue
+        margin, sums, scale, _ = _parts(weights, vectors, slots, starts)
+        error = _errors(bias + margin, labels[rows])
+        used, at = np.unique(slots, return_inverse=True)
+        pull = np.repeat(error * scale, counts)[:, None] * (
+            np.repeat(sums, counts, axis=0) - vectors[slots])
+        grad = np.stack([np.bincount(at, pull[:, f], len(used)) for f in range(vectors.shape[1])], 1)
+        grad += VECTOR_L2 * vectors[used]
+        steps[used] += grad * grad
+        vectors[used] -= VECTOR_RATE * grad / np.sqrt(steps[used])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that the fit must not see: CRC-32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

@@ -9,10 +9,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import frequent, lexical, lines, queries, rules, turns
+from quillgraph.llm import frequent, html, lexical, lines, queries, rules, toxicity, turns
 
 SF = "/root/testdata/sf0.001"
 
@@ -418,3 +419,38 @@ def test_query_computes_what_is_not_reported_inside_the_cascade(spark):
         for line in optimised.splitlines():
             if text in line:
                 assert line.index("CASE WHEN") < line.index(text)
+
+
+# --- 7 pairs of terms ------------------------------------------------------------------------------
+
+def test_parts_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    weights, vectors = rng.normal(size=30), rng.normal(size=(30, 4))
+    sets = [rng.choice(30, n, replace=False) for n in (5, 0, 1, 12, 0)]
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    got = toxicity._parts(weights, vectors, np.concatenate(sets).astype(int), starts)[0]
+    want = [sum(weights[i] for i in s) + sum(vectors[i] @ vectors[j] for i, j in itertools.combinations(s, 2))
+            / math.sqrt(max(1, len(s))) for s in sets]
+    assert np.allclose(got, want)
+
+
+def test_pairs_decide_among_150_other_words():
+    """Two terms that tell only together, in long documents, with the query's constants;
+    without the vectors nothing is left."""
+    rng = np.random.default_rng(1)
+
+    def drawn(n):
+        a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+        terms = [np.unique(np.concatenate([[t for t, on in ((1, x), (2, y), (3, not x), (4, not y)) if on],
+                                           10 + rng.integers(0, 2_000, 150)]))
+                 for x, y in zip(a, b, strict=True)]
+        return terms, a == b
+
+    terms, truth = drawn(12_000)
+    machine = toxicity.train(terms, truth.astype(float))
+    held, truth = drawn(1_500)
+    slots = [np.array([machine.slot_of[t] for t in x if t in machine.slot_of]) for x in held]
+    starts = np.cumsum([0, *map(len, slots)])[:-1]
+    assert ((machine.margins(np.concatenate(slots), starts) > 0) == truth).mean() > 0.95
+    machine.vectors = np.zeros_like(machine.vectors)
+    assert ((machine.margins(np.concatenate(slots), starts) > 0) == truth).mean() < 0.6
