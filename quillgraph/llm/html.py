@@ -74,6 +74,44 @@ class Piece:
         self.boundary, self.content = boundary, content
 
 
+class Open:
+    """The open elements but inline ones, and counts of them, so that no token looks
+    through all of them however deep they are nested."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool]] = []  # name; boilerplate or not
+        self.names, self.blocks = Counter(), []
+        self.blocked = self.content = 0
+
+    def push(self, name: str, blocked: bool) -> None:
+        self.stack.append((name, blocked))
+        self._count(name, blocked, 1)
+        if name in _BLOCKS:
+            self.blocks.append(name)
+
+    def pop(self) -> tuple[str, bool]:
+        name, blocked = self.stack.pop()
+        self._count(name, blocked, -1)
+        if name in _BLOCKS:
+            self.blocks.pop()
+        return name, blocked
+
+    def _count(self, name: str, blocked: bool, step: int) -> None:
+        self.names[name] += step
+        self.blocked += step * blocked
+        self.content += step * (name in _CONTENT)
+
+    def close(self, name: str) -> bool | None:
+        """Ends the innermost element of the name and all in it; whether it is boilerplate,
+        None if none is open."""
+        if not self.names[name]:
+            return None
+        while True:
+            ended, blocked = self.pop()
+            if ended == name:
+                return blocked
+
+
 def parse(page: str) -> list[Piece]:
     """Text runs and tags in page order. Comments, raw elements, the head and an unfinished
     last tag give nothing; an element that is never closed ends with the one around it.
@@ -83,18 +121,16 @@ def parse(page: str) -> list[Piece]:
     the source in their annotations.
     """
     out: list[Piece] = []
-    stack: list[tuple[str, bool]] = []  # open elements but inline ones; boilerplate or not
+    nest = Open()
     in_head = in_note = False
 
     def add_text(raw: str) -> None:
         text = html.unescape(raw)
         if not text:
             return
-        blocked = any(b for _, b in stack)
-        context = "hint" if blocked else next(
-            (n for n, _ in reversed(stack) if n in _BLOCKS), "none")
-        out.append(Piece("w:" + context, text, blocked, False,
-                         any(n in _CONTENT for n, _ in stack)))
+        blocked = nest.blocked > 0
+        context = "hint" if blocked else nest.blocks[-1] if nest.blocks else "none"
+        out.append(Piece("w:" + context, text, blocked, False, nest.content > 0))
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -126,19 +162,15 @@ def parse(page: str) -> list[Piece]:
             _HINT.search(a or b or c) for a, b, c in _NAMES.findall(names))
         known = name in _BLOCKS or name in _INLINE or name in _BOILERPLATE or name in _CONTENT
         tag = "t:" + ("hint" if hint else name if known else "other")
-        inside = any(n in _CONTENT for n, _ in stack)
+        inside = nest.content > 0
         if name not in _INLINE and name not in _VOID:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if stack[k][1] and name not in _BOILERPLATE:
-                            tag = "t:hint"
-                        del stack[k:]
-                        break
+                if nest.close(name) and name not in _BOILERPLATE:
+                    tag = "t:hint"
             else:
-                if name in _PARAGRAPHS and stack and stack[-1][0] in _PARAGRAPHS:
-                    stack.pop()
-                stack.append((name, hint or (name in _BOILERPLATE)))
+                if name in _PARAGRAPHS and nest.stack and nest.stack[-1][0] in _PARAGRAPHS:
+                    nest.pop()
+                nest.push(name, hint or (name in _BOILERPLATE))
         elif hint and name not in _VOID and not closing:
             tag = "t:" + name  # inline hints don't open a region
         out.append(Piece(tag, "\n" if name == "br" else "", False,

@@ -454,3 +454,46 @@ def test_pairs_decide_among_150_other_words():
     assert ((machine.margins(np.concatenate(slots), starts) > 0) == truth).mean() > 0.95
     machine.vectors = np.zeros_like(machine.vectors)
     assert ((machine.margins(np.concatenate(slots), starts) > 0) == truth).mean() < 0.6
+
+
+# --- 2 the scan over a page -------------------------------------------------------------------------
+
+def test_region_is_the_best_run_of_all():
+    rng = random.Random(6)
+    for _ in range(300):
+        pieces = []
+        for _ in range(rng.randint(0, 25)):
+            feature = rng.choice(["w:p", "w:div", "w:hint", "t:p", "t:div", "t:nav", "t:hint"])
+            pieces.append(html.Piece(feature, "a " * rng.randint(1, 4) if feature[0] == "w" else "",
+                                     False, feature[0] == "t", False))
+        weights = html.Weights({f: (rng.randint(0, 50), rng.randint(0, 50)) for f in (
+            "w:p", "w:div", "w:hint", "t:p", "t:div", "t:nav", "t:hint")})
+        scores = [weights.score(p) for p in pieces]
+        best = max([0.0] + [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)])
+        low, high = html.region(pieces, weights)
+        assert abs(sum(scores[low:high]) - best) < 1e-9 and (high > low or best == 0)
+
+
+def test_scan_decides_where_markup_names_nothing(spark):
+    """Boilerplate without element or class names that tell: only the scan leaves it out."""
+    words = " ".join(f"word{k}" for k in range(60))
+    links = "".join(f"<ul><li><a href=#>go {k}</a></li></ul><table><tr><td>x</td></tr></table>" for k in range(12))
+    body = f"<p>{words} one</p><p>{words} two</p>"
+    labelled = [(i, "u", f"<body><div>{links}</div><article>{body}</article><div>{links}</div></body>")
+                for i in range(30)]
+    pages = spark.createDataFrame([*labelled, (99, "u", f"<body><div>{links}</div><div>{body}</div>"
+                                              f"<div>{links}</div></body>")], "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert text[99] == f"{words} one\n{words} two"
+    pieces = html.parse(pages.where("page_id = 99").first().html)
+    everything = " ".join(p.text for p in pieces if not p.blocked)
+    assert "go 3" in everything  # without the scan it would stay
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000, "<div>a" * 60_000, "<p>" * 60_000 + "</b></i>" * 20_000,
+                                  "<div><ul>" * 20_000 + "</td>" * 60_000, "<section>" * 30_000 + "x</div>" * 30_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+    begun = time.process_time()
+    html.main_text(page, html.Weights({}))
+    assert time.process_time() - begun < 6
