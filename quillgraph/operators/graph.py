@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.operators.skew import as_build_side, count_rows, groups_of_size, skew_join
+from quillgraph.operators.skew import as_build_side, count_rows, groups_of_size
+from quillgraph.session import materialize
 
 # Thresholds of the published graph: bounds are inclusive.
 TEAM_SIZE = (2, 10)
@@ -68,7 +69,8 @@ def author_selection(rows: DataFrame, min_team: int = 2, min_works: int = 2,
     if legacy_null_group:
         pairs = pairs.withColumn("author", F.coalesce(F.col("author").cast("string"),
                                                       F.lit(_NO_AUTHOR)))
-    pairs = pairs.distinct()
+    # Read twice, by the counts and by the rows that they select.
+    pairs = materialize(pairs.distinct(), "selection-pairs")
     kept = groups_of_size(pairs, "author", ["work"], min_works, None)
     # Distinct pairs: an array can only be as long as the team of its work.
     listed = F.when(F.col("author").cast("string") != _NO_AUTHOR, F.col("author"))

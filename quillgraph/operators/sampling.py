@@ -94,22 +94,27 @@ def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int,
     """``(src, dst, ix)``: exactly ``round(ratio * positives)`` distinct unordered pairs
     that are neither edges nor self pairs, numbered from 0 in random order.
 
-    A round draws ``k`` pairs per positive; rounds go on until there are enough, and what
-    is too much is cut by a digest of the pair (ranks over ranges, no single task).
+    A round draws ``k`` pairs per positive and keeps those that are new; rounds go on until
+    there are enough, and what is too much is cut by a digest of the pair (ranks over
+    ranges, no single task). Pairs found before are only looked up, not drawn or joined
+    again.
     ``edges`` hold each unordered pair with ``src <= dst``, see ``undirected_edges``.
     Fails if the graph has too few free pairs to find them in ``most_rounds``.
     """
     wanted = round(ratio * positives.count())
-    found = None
+    found, count = None, 0
     for number in range(most_rounds):
         drawn = random_negatives(positives, nodes, k, salt, first=number * k + 1)
         pairs = (drawn.select(F.least("src", "dst").alias("src"),
                               F.greatest("src", "dst").alias("dst"))
-                 .filter(F.col("src") != F.col("dst")))
-        pairs = pairs if found is None else pairs.unionByName(found)
-        free = pairs.distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-        found = materialize(free, "negatives")
-        if found.count() >= wanted:
+                 .filter(F.col("src") != F.col("dst")).distinct())
+        free = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        if found is not None:
+            free = free.join(found, ["src", "dst"], "left_anti")
+        fresh = materialize(free, "negatives")
+        count += fresh.count()
+        found = fresh if found is None else found.unionByName(fresh)
+        if count >= wanted:
             order = digest(f"{salt}-order", F.col("src"), F.col("dst"))
             ranked = dense_index(found.withColumn("_h", order), ["_h", "src", "dst"])
             return ranked.filter(F.col("ix") < wanted).select("src", "dst", "ix")

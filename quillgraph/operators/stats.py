@@ -37,6 +37,17 @@ def unique_teams(works: DataFrame, approx: bool = False) -> DataFrame:
             .agg(_distinct(F.col("team"), "teams", approx)))
 
 
+def unique_teams_of(rows: DataFrame) -> DataFrame:
+    """Distinct teams of flat authorships ``(work, author)``, however many a work has: a
+    team is its size and two sums of 44 bits of hashes of its members, combined on the map
+    side, so no team is put together."""
+    def total(salt: int) -> Column:
+        return F.sum(F.pmod(F.xxhash64(F.lit(salt), "author"), F.lit(1 << 44)))
+
+    teams = rows.groupBy("work").agg(F.count(F.lit(1)).alias("n"), total(1).alias("a"), total(2).alias("b"))
+    return teams.select("n", "a", "b").distinct().agg(F.count(F.lit(1)).alias("teams"))
+
+
 def _count_works(rows: DataFrame, key: str, distinct_works: bool) -> DataFrame:
     if distinct_works:
         rows = rows.select("work", key).distinct()

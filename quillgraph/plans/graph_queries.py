@@ -320,6 +320,17 @@ c AS (SELECT doc_id, ({hash32("w")} % {WIDTH})::INT AS pos, count(*) AS n FROM w
   GROUP BY 1, 2)
 SELECT doc_id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 5) AS value FROM c""")
 def text_embedding(t: Tables) -> DataFrame:
+    return features.hashed_words(t.documents, "doc_id", "text", WIDTH).withColumn(
+        "value", F.round("value", 5))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[ \t\r\n]+')) AS w
+  FROM documents),
+c AS (SELECT doc_id, ({hash32("w")} % {WIDTH})::INT AS pos, count(*) AS n FROM w WHERE w <> ''
+  GROUP BY 1, 2)
+SELECT doc_id, pos, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 5) AS value FROM c""")
+def encoded_text(t: Tables) -> DataFrame:
+    """Text vectors by an encoder in Python, called with batches of texts."""
     texts = features.embed_text(t.documents.select("doc_id", "text"), "text",
                                 features.HashingEncoder(WIDTH))
     return _long(texts, "doc_id", "vector").filter(F.col("value") != 0)

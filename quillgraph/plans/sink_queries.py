@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgraph.functions.hashing import below
 from quillgraph.operators import features, graph, stats
 from quillgraph.plans import overview
 from quillgraph.plans.catalog import EDGES, MENTIONS, query
 from quillgraph.plans.works_queries import CITATIONS, CONCEPT, COUNTRY, SLICE, work_lines
+from quillgraph.schemas import RAW_WORK
 from quillgraph.session import materialize, new_path
 from quillgraph.sinks import writers
 from quillgraph.sources import inferred, snapshot, tables
@@ -80,6 +82,17 @@ def sink_vocabulary(t: Tables) -> DataFrame:
     return t.spark.read.schema("term string, ix bigint").json(target)
 
 
+@query("SELECT unnest([1, 9, 17])::INT AS level, true AS measured, true AS smaller_than_plain")
+def codec_levels(t: Tables) -> DataFrame:
+    """Three levels of the profile: whether each was timed, and is smaller than the rows
+    stored without a codec."""
+    plain = new_path(t.spark, "plain")
+    writers.write_parquet(t.orders, plain, codec="uncompressed")
+    size = writers.stored_bytes(t.spark, plain)
+    return writers.codec_profile(t.orders, (1, 9, 17)).select(
+        "level", (F.col("time") > 0).alias("measured"), (F.col("size") < size).alias("smaller_than_plain"))
+
+
 @query()
 def codec_profile(t: Tables) -> DataFrame:
     """Size and time of a zstd write at every level."""
@@ -151,7 +164,22 @@ def snapshot_ingest(t: Tables) -> DataFrame:
     return done.select("id", "doi", "title", "publication_date", *sizes)
 
 
-@query()
+# Fields of the made-up works that are null in all records, so that no line has them.
+_NEVER = {"authorships[].author.orcid", "concepts[].wikidata", "primary_topic.score", "topics[].score"}
+
+
+def _paths(kind: T.DataType, prefix: str = "") -> list[tuple[str, str]]:
+    """Paths and types that the lines of all works show."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for path in [f"{prefix}.{f.name}" if prefix else f.name]
+                if path not in _NEVER
+                for x in [(path, f.dataType.typeName()), *_paths(f.dataType, path)]]
+    if isinstance(kind, T.ArrayType):
+        return [(prefix + "[]", kind.elementType.typeName()), *_paths(kind.elementType, prefix + "[]")]
+    return []
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, _paths(RAW_WORK))) + ") AS v(path, type)")
 def schema_inference(t: Tables) -> DataFrame:
     """Inferred paths and types of the JSON lines of all works."""
     source = new_path(t.spark, "inference")

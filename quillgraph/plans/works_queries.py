@@ -38,11 +38,11 @@ def _countries(t: Tables) -> DataFrame:
 
 
 def _concepts(t: Tables) -> DataFrame:
-    return stats.works_by_concept(tt.works(t, ["concepts"]))
+    return stats.works_by_concept(tt.counted_works(t, "concepts"))
 
 
 def _citations(t: Tables) -> DataFrame:
-    return stats.citation_distribution(tt.works(t, ["citations"]), keep_id=True)
+    return stats.citation_distribution(tt.counted_works(t, "citations"), keep_id=True)
 
 
 @query("SELECT count(*) AS size FROM orders")
@@ -63,7 +63,7 @@ def unique_works(t: Tables) -> DataFrame:
 @query("SELECT count(DISTINCT team) AS teams FROM ("
        "SELECT list_sort(list(l_partkey)) AS team FROM lineitem GROUP BY l_orderkey)")
 def unique_teams(t: Tables) -> DataFrame:
-    return stats.unique_teams(tt.team_works(t))
+    return stats.unique_teams_of(tt.mentions(t))
 
 
 @query(f"WITH {COUNTRY} SELECT country, works FROM c")
@@ -86,7 +86,7 @@ def works_by_concept(t: Tables) -> DataFrame:
   LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
 SELECT p_brand AS topic, count(*) AS works FROM f LEFT JOIN part ON k = p_partkey GROUP BY 1""")
 def works_by_topic(t: Tables) -> DataFrame:
-    return stats.in_order(stats.works_by_topic(tt.works(t, ["primary_topic"])), "topic")
+    return stats.in_order(stats.works_by_topic(tt.counted_works(t, "primary_topic")), "topic")
 
 
 @query(f"""WITH {COUNTRY} SELECT CASE WHEN works < {SMALL_COUNTRY} THEN 'other' ELSE country END

@@ -210,6 +210,45 @@ def raw_works(t: Tables, columns: Iterable[str] | None = None) -> DataFrame:
                            for f in RAW_WORK.fields if f.name in made])
 
 
+# Lists whose entries are counts of a value with few different ones.
+_COUNTED = {"concepts": "p_type", "counts_by_year": "year"}
+
+
+def _counted_list(t: Tables, column: str) -> DataFrame:
+    """``(l_orderkey, column)``: lines are counted by order and value first, so a list has
+    an entry per value, whatever the number of lines."""
+    field = _COUNTED[column]
+    counts = lines(t, [field]).groupBy("l_orderkey", field).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct(field, "n"))).alias("e"), F.sum("n").alias("total"))
+    if column == "concepts":
+        made = F.transform("e", lambda x: F.struct(
+            x["p_type"].alias("display_name"), _ident("C", x["p_type"]).alias("id"),
+            F.lit(0).cast("bigint").alias("level"), (x["n"] / F.col("total")).alias("score"),
+            F.lit(None).cast("string").alias("wikidata")))
+    else:
+        made = F.transform("e", lambda x: F.struct(x["n"].alias("cited_by_count"), x["year"].alias("year")))
+    return whole.select("l_orderkey", made.alias(column))
+
+
+def _first_topic(t: Tables) -> DataFrame:
+    """``(l_orderkey, primary_topic)``: the topic of the smallest author, a minimum."""
+    best = F.min(F.struct("l_partkey", "p_type", "p_brand")).alias("x")
+    return (lines(t, ["l_partkey", "p_type", "p_brand"]).groupBy("l_orderkey").agg(best)
+            .select("l_orderkey", _topic(F.col("x")).alias("primary_topic")))
+
+
+def counted_works(t: Tables, column: str) -> DataFrame:
+    """Compact works with ``id`` and one of ``concepts``, ``citations``, ``primary_topic``:
+    like :func:`works`, without putting the lines of an order in one row."""
+    raw = _RAW_OF.get(column, column)
+    made = _first_topic(t) if raw == "primary_topic" else _counted_list(t, raw)
+    kind = RAW_WORK[raw].dataType
+    rows = t.orders.join(made, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        _ident("W", F.col("o_orderkey")).alias("id"), F.col(raw).cast(kind).alias(raw))
+    return add_flat_columns(compact_work(rows, ["id", column]))
+
+
 # Raw column behind each nested compact column.
 _RAW_OF = {"authors": "authorships", "citations": "counts_by_year"}
 
