@@ -240,11 +240,13 @@ def _terms(t: Tables) -> tuple[DataFrame, DataFrame]:
 
     The author's own brand is the field, the supplier's nation the country.
     """
-    rows = tt.lines(t, ["l_linenumber", "l_partkey", "p_brand", "n_name"]).select(
-        F.col("l_orderkey").alias("work"), F.col("l_linenumber").alias("position"),
-        F.col("l_partkey").alias("author"), F.col("l_partkey").alias("item"),
-        F.col("p_brand").alias("field"), F.col("n_name").alias("country"))
-    return rows.drop("country"), rows.drop("field")
+    def seen(column: str, name: str) -> DataFrame:
+        return tt.lines(t, ["l_linenumber", "l_partkey", column]).select(
+            F.col("l_orderkey").alias("work"), F.col("l_linenumber").alias("position"),
+            F.col("l_partkey").alias("author"), F.col("l_partkey").alias("item"),
+            F.col(column).alias(name))
+
+    return seen("p_brand", "field"), seen("n_name", "country")
 
 
 def _vocab(term: str, source: str) -> str:
@@ -535,6 +537,23 @@ def link_model_scores(t: Tables) -> DataFrame:
     return scored.select("src", "dst", "label", "score")
 
 
+@query(f"""WITH {PAIRS}, {HARD} SELECT src, dst, 1 AS label FROM und
+UNION ALL SELECT src, dst, 0 FROM neg WHERE ix < (SELECT count(*) FROM und)""")
+def labelled_pairs(t: Tables) -> DataFrame:
+    """Edges, and as many pairs that are none, in one labelled table."""
+    edges = materialize(_undirected(t).select("src", "dst"), "edges")
+    return sampling.labelled(edges, sampling.hard_negatives(edges, edges, _author_count(t)))
+
+
+@query(f"""WITH {PAIRS}, {NODES}
+SELECT src, dst, round(1 / (1 + exp(-{DOT.format("a.e", "b.e")})), 5) AS score FROM und
+JOIN n a ON a.node = src JOIN n b ON b.node = dst""")
+def pair_dot(t: Tables) -> DataFrame:
+    """Every edge scored by the sigmoid of its inner product."""
+    pairs = linkpred.gather(_undirected(t).select("src", "dst"), _nodes(t))
+    return linkpred.dot_scores(pairs).withColumn("score", F.round("score", 5))
+
+
 @query(f"""WITH {PAIRS}, {HARD}, drawn_pairs AS (
   SELECT src, dst, 1 AS label FROM und UNION ALL
   SELECT src, dst, 0 FROM neg WHERE ix < (SELECT count(*) FROM und)),

@@ -341,6 +341,46 @@ def semi_selection(t: Tables) -> DataFrame:
     return graph.select_works(_order_works(t), graph.author_selection(tt.authorships(t, 2)))
 
 
+@query("""WITH m AS (SELECT l_orderkey AS work, CASE WHEN l_partkey % 50 = 0 THEN '-'
+  ELSE l_partkey::VARCHAR END AS author FROM lineitem),
+big AS (SELECT work FROM m GROUP BY work HAVING count(*) > 1),
+p AS (SELECT DISTINCT work, author FROM m WHERE work IN (SELECT work FROM big)),
+rep AS (SELECT author FROM p GROUP BY author HAVING count(*) > 1),
+sel AS (SELECT DISTINCT work FROM p WHERE author IN (SELECT author FROM rep))
+SELECT o_orderkey AS id, work, o_totalprice FROM orders JOIN sel ON work = o_orderkey""")
+def keyed_selection(t: Tables) -> DataFrame:
+    """Selected works with the selector's key; authors without an id count as one author."""
+    rows = tt.authorships(t, 2).withColumn("author", F.when(F.col("author") % 50 != 0, F.col("author")))
+    selector = graph.author_selection(rows, legacy_null_group=True)
+    return graph.select_works(_order_works(t), selector, keep_key=True).select(
+        "id", "work", "o_totalprice")
+
+
+@query("""WITH k AS (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag)
+  AS keywords FROM lineitem GROUP BY 1)
+SELECT 'W' || l_orderkey AS work, 'A' || l_partkey AS author, upper(p_name) AS name, keywords
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN k USING (l_orderkey)""")
+def nested_update(t: Tables) -> DataFrame:
+    """One field of every author changed inside the array; one field of every keyword picked
+    from the raw array."""
+    raw = tt.raw_works(t, ["authorships", "keywords"])
+    works = snapshot.compact_work(raw, ["id", "authors"]).withColumn(
+        "authors", C.update_field(F.col("authors"), "name", F.upper))
+    names = raw.select(C.strip_prefix(F.col("id"), C.ID_PREFIX).alias("key"),
+                       F.array_join(C.pluck(F.col("keywords"), "display_name"), ",").alias("keywords"))
+    return (works.join(names, F.col("id") == F.col("key"))
+            .select(F.col("id").alias("work"), "keywords", F.explode("authors").alias("a"))
+            .select("work", F.col("a.id").alias("author"), F.col("a.name").alias("name"), "keywords"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def without_technical(t: Tables) -> DataFrame:
+    """A collection whose store added columns of its own, without these."""
+    stored = t.orders.select(F.md5(F.col("o_orderkey").cast("string")).alias("_id"),
+                             F.col("o_orderkey").alias("rowId"), "o_orderkey", "o_totalprice")
+    return C.drop_technical(stored)
+
+
 @query(f"""WITH {SELECTED} SELECT o_orderkey AS id, o_orderstatus, o_totalprice FROM orders
 WHERE o_orderkey IN (SELECT work FROM sel)
   AND {hash32("'sample:' || o_orderkey")} < {int(0.05 * 2**32)}""")
