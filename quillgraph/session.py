@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,17 +90,34 @@ def new_path(spark: SparkSession, label: str) -> str:
     return _PATHS[-1]
 
 
-def drop_work(spark: SparkSession) -> int:
-    """Delete what this process wrote below the work folder; DataFrames that
-    read it must not be used any more. Returns the number of paths deleted."""
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     deleted = 0
-    while _PATHS:
-        location = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+    for path in paths:
+        location = jvm.org.apache.hadoop.fs.Path(path)
         deleted += bool(location.getFileSystem(conf).delete(location, True))
     return deleted
 
 
+def drop_work(spark: SparkSession) -> int:
+    """Delete what this process wrote below the work folder; DataFrames that
+    read it must not be used any more. Returns the number of paths deleted."""
+    paths, _PATHS[:] = list(_PATHS), []
+    return _delete(spark, paths)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written below the work folder inside the block is deleted at its end, also
+    after a failure. Write results to a path taken before it."""
+    before = len(_PATHS)
+    try:
+        yield
+    finally:
+        paths, _PATHS[before:] = _PATHS[before:], []
+        _delete(spark, paths)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the work folder and read it back.
 

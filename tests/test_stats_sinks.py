@@ -153,6 +153,17 @@ def test_work_folder_is_given_back(spark, tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+def test_scratch_gives_back_its_own_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Z, "_PATHS", [])
+    monkeypatch.setattr(Z, "work_dir", lambda _: str(tmp_path))
+    kept = Z.new_path(spark, "kept")
+    with pytest.raises(RuntimeError), Z.scratch(spark):
+        Z.materialize(spark.range(4), "step").write.parquet(kept)
+        raise RuntimeError
+    assert [p.name for p in tmp_path.iterdir()] == [kept.rsplit("/", 1)[1]]
+    assert spark.read.parquet(kept).count() == 4 and Z._PATHS == [kept]
+
+
 class Unset:
     """A session without the folder setting."""
 
