@@ -75,18 +75,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
-# Files of public tokenizers; every executor has them at the same place.
-TOKENIZERS = "/opt/tokenizers"
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file; every executor has it there."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 @_query("op4_bpe_round_trip")
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 @_query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 @_query("op2_html_extraction")

@@ -17,8 +17,8 @@ from quillgraph.llm import (
     bpe, exact, html, lines, minhash, packing, pii, queries, rules, substrings, toxicity)
 
 SF = "/root/testdata/sf0.001"
-BYTE = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
-WORD = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BYTE = queries.tokenizer("byte_bpe_50k.json")
+WORD = queries.tokenizer("word_bpe_49k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 PROSE = [
     "the quick brown fox jumps over the lazy dog while the sun goes down behind the old hills",

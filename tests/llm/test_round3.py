@@ -497,3 +497,89 @@ def test_deep_pages_take_linear_time(page):
     begun = time.process_time()
     html.main_text(page, html.Weights({}))
     assert time.process_time() - begun < 6
+
+
+# --- the pipeline against plain Python ------------------------------------------------------------------
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def keeps(text):
+    """The quality rules of the pipeline, one after the other."""
+    words = WORD.findall(text)
+    lines_ = [x for x in text.split("\n") if WORD.search(x)]
+    windows = collections.Counter(tuple(words[i:i + 5]) for i in range(len(words) - 4))
+    covered = {i + k for i in range(len(words) - 4) if windows[tuple(words[i:i + 5])] > 1 for k in range(5)}
+    upper, letters = (sum(map(test, text)) for test in (str.isupper, str.isalpha))
+    return not (len(words) < 10 or 100 * len(covered) > 20 * len(words)
+                or 100 * len(re.findall("[#*$%&|<>]", text)) > 25 * len(words) or 100 * upper > 50 * letters
+                or 100 * text.count("!") > 50 * len(words)
+                or 100 * sum(a == b for a, b in itertools.pairwise(words)) > 30 * len(words)
+                or 100 * (len(lines_) - len(set(lines_))) > 50 * len(lines_))
+
+
+def shingles(text):
+    words = WORD.findall(text.translate(LOWER))
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_pipeline(docs):
+    docs = {i: t for i, t in docs if t is not None and keeps(t)}
+    groups = collections.defaultdict(list)
+    for i, t in docs.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i))
+    docs = {i: docs[i] for i in sorted(min(g)[1] for g in groups.values())}
+    root = {i: i for i in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = {i: shingles(t) for i, t in docs.items()}
+    for a, b in itertools.combinations(docs, 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    docs = {i: t for i, t in docs.items() if find(i) == i}
+    for pattern, kind in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "<EMAIL>"),
+                          (r"\+[0-9][\x20().0-9-]+[0-9]", "<PHONE>"),
+                          (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "<IP>")):
+        docs = {i: re.sub(pattern, kind, t) for i, t in docs.items()}
+    return docs
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}" for a in "ka lo mi nu re so ta vi".split() for b in "ba de fo gu ha ji".split()]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs = [(i, prose(rng.randint(30, 120))) for i in range(60)]
+    docs += [(100 + i, docs[i][1].replace(" ", "  ")) for i in range(8)]              # exact, longer
+    docs += [(200 + i, f"{docs[10 + i][1]} {prose(2)}") for i in range(8)]            # near
+    docs += [(300, prose(6)), (301, "word " * 60), (302, prose(40).upper()), (303, "! ! ".join(prose(30).split())),
+             (304, "\n".join([prose(12)] * 9)), (305, " # * ".join(prose(30).split())), (306, None), (307, "")]
+    docs += [(400, f"{prose(40)} jan.doe@mail.example.org {prose(20)} +1 (644) 555-7859 {prose(3)}"),
+             (401, f"{prose(40)} 10.11.12.13 and a@b.co {prose(20)}"), (402, prose(9_000))]
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string,"
+                          " lang string, source string, n_chars long").repartition(4) \
+        .write.parquet(f"{folder}/documents.parquet")
+    packed = [r.asDict() for r in corpus_pipeline.run(spark, folder).collect()]
+    want = plain_pipeline(docs)
+    assert {200, 300, 301, 302, 303, 304, 305, 306, 307}.isdisjoint(want) and {100, 402} <= set(want)
+    library = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    pieces = set()
+    for i, text in want.items():
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        pieces |= {(i, k, at, len(ids[at:at + 2048]), zlib.crc32(ids[at:at + 2048].tobytes()))
+                   for k, at in enumerate(range(0, len(ids), 2048))}
+    assert {(p["doc_id"], p["piece"], p["start"], p["length"], p["ids_crc32"]) for p in packed} == pieces
+    full = collections.defaultdict(list)
+    for p in packed:
+        full[p["sequence_id"]].append((p["offset"], p["length"]))
+    for places in full.values():
+        assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 2048
+    assert len(full) <= 1 + -(-sum(n for *_, n, _ in pieces) // 2048)
