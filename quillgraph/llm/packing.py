@@ -32,7 +32,7 @@ from quillgraph.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 400_000  # of about 200 bytes each, while a task runs
+CACHED_WORDS = 600_000  # of about 200 bytes each, while a task runs
 _MARKS = frozenset(".,;:!?")
 BATCH_BYTES = 2 << 20
 
