@@ -23,8 +23,7 @@ def trim_prefix_legacy(c: Column, prefix: str) -> Column:
 
     Reproduces ids of older data sets; they do not join with stripped ids.
     """
-    return F.when(c.startswith(prefix),
-                  c.substr(F.lit(len(prefix)), F.length(c))).otherwise(c)
+    return F.when(c.startswith(prefix), strip_prefix(c, prefix[:-1])).otherwise(c)
 
 
 def strip_each(arr: Column, strip: Callable[[Column], Column]) -> Column:

@@ -23,7 +23,9 @@ from quillgraph.operators.ordering import dense_index
 from quillgraph.operators.skew import as_build_side
 from quillgraph.session import materialize
 
-BLOCK, TARGET_BLOCK = 4_096, 1_024
+# Nodes travel once for each block of targets, targets once for each block of nodes.
+BLOCK, TARGET_BLOCK = 4_096, 16_384
+_SLICE = 512
 # Scores that agree to so many decimals are ties; the smaller node comes first.
 DECIMALS = 9
 _SLACK = 2 * 10.0 ** -DECIMALS
@@ -46,19 +48,32 @@ def _block_best(nodes: pa.Table, asked: pa.Table, k: int) -> pa.Table:
     if not len(nodes) or not len(targets):
         return empty
     nodes = nodes.sort_by("node")
-    ids, own = nodes["node"].to_numpy(), targets["target"].to_numpy()
-    scores = np.round(_rows(targets["features"]) @ _rows(nodes["features"]).T, DECIMALS)
-    for target, node in ((known["target"].to_numpy(), known["known"].to_numpy()), (own, own)):
-        row, column = np.searchsorted(own, target), np.searchsorted(ids, node)
-        inside = (row < len(own)) & (column < len(ids))
-        row, column, target, node = row[inside], column[inside], target[inside], node[inside]
-        hit = (own[row] == target) & (ids[column] == node)
-        scores[row[hit], column[hit]] = -np.inf
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    found = np.take_along_axis(scores, best, 1)
-    keep = np.isfinite(found) & (found >= targets["at_least"].to_numpy()[:, None])
-    row, place = np.nonzero(keep)
-    return pa.table({"target": own[row], "node": ids[best[row, place]], "dot": found[row, place]})
+    ids, own, vectors = nodes["node"].to_numpy(), targets["target"].to_numpy(), _rows(nodes["features"]).T
+    asking, least = _rows(targets["features"]), targets["at_least"].to_numpy()
+    hidden = [_places(own, ids, known["target"].to_numpy(), known["known"].to_numpy()),
+              _places(own, ids, own, own)]
+    out = []
+    for low in range(0, len(own), _SLICE):  # so many rows of scores at a time
+        scores = np.round(asking[low:low + _SLICE] @ vectors, DECIMALS)
+        for row, column in hidden:
+            here = (row >= low) & (row < low + _SLICE)
+            scores[row[here] - low, column[here]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(scores, best, 1)
+        row, place = np.nonzero(np.isfinite(found) & (found >= least[low:low + _SLICE, None]))
+        out.append(pa.table({"target": own[low + row], "node": ids[best[row, place]],
+                             "dot": found[row, place]}))
+    return pa.concat_tables(out)
+
+
+def _places(own: np.ndarray, ids: np.ndarray, target: np.ndarray, node: np.ndarray
+            ) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the pairs among the targets and nodes of a block (both sorted)."""
+    row, column = np.searchsorted(own, target), np.searchsorted(ids, node)
+    inside = (row < len(own)) & (column < len(ids))
+    row, column, target, node = row[inside], column[inside], target[inside], node[inside]
+    hit = (own[row] == target) & (ids[column] == node)
+    return row[hit], column[hit]
 
 
 def top_partners(nodes: DataFrame, edges: DataFrame, targets: DataFrame, k: int = 10,
