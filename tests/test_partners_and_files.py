@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions import vectors as V
+from quillgraph.functions.columns import ID_PREFIX
 from quillgraph.operators import graph, linkpred, partners, stats
 from quillgraph.plans import graph_queries, works_queries
 from quillgraph.sinks import writers
@@ -157,7 +158,7 @@ def deliver(folder, name, *lines):
         f.write("\n".join(lines) + "\n")
 
 
-GOOD = ['{"id": "https://openalex.org/W%d", "title": "t%d"}' % (i, i) for i in range(5)]
+GOOD = ['{"id": "%sW%d", "title": "t%d"}' % (ID_PREFIX, i, i) for i in range(5)]
 
 
 def test_dropped_lines_and_skipped_files(spark, tmp_path):
