@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.hashing import below, digest, number60, uniform32
+from quillgraph.functions.hashing import below, digest, number32, number60, uniform32
 from quillgraph.operators.ordering import dense_index
 from quillgraph.operators.skew import as_build_side
 from quillgraph.session import materialize
@@ -88,6 +88,9 @@ def corrupt_targets(positives: DataFrame, nodes: Column | int, k: int = 5,
             .select(F.col("pos_src").alias("src"), "pos_dst", "draw", "dst"))
 
 
+_SPARE = 1.1  # pairs taken for each wanted one, as some are edges or drawn twice
+
+
 def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int,
                    ratio: float = 1.0, k: int = 3, salt: str = "hard",
                    most_rounds: int = 40) -> DataFrame:
@@ -96,28 +99,45 @@ def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int,
 
     A round draws ``k`` pairs per positive and keeps those that are new; rounds go on until
     there are enough, and what is too much is cut by a digest of the pair (ranks over
-    ranges, no single task). Pairs found before are only looked up, not drawn or joined
-    again.
+    ranges, no single task); where most of the first round would be cut, before it is
+    shuffled. Pairs found before are only looked up, not drawn or joined again.
     ``edges`` hold each unordered pair with ``src <= dst``, see ``undirected_edges``.
     Fails if the graph has too few free pairs to find them in ``most_rounds``.
     """
-    wanted = round(ratio * positives.count())
-    found, count = None, 0
-    for number in range(most_rounds):
+    size = positives.count()
+    wanted = round(ratio * size)
+    order = [digest(f"{salt}-order", F.col("src"), F.col("dst")), F.col("src"), F.col("dst")]
+
+    def free(number: int, below: Column | None = None) -> DataFrame:
         drawn = random_negatives(positives, nodes, k, salt, first=number * k + 1)
         pairs = (drawn.select(F.least("src", "dst").alias("src"),
                               F.greatest("src", "dst").alias("dst"))
-                 .filter(F.col("src") != F.col("dst")).distinct())
-        free = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+                 .filter(F.col("src") != F.col("dst")))
+        pairs = pairs if below is None else pairs.filter(below)
+        return pairs.distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+
+    def first(found: DataFrame) -> DataFrame:
+        # Ordered by an expression: the digests are not shuffled or written.
+        ranked = dense_index(found, order)
+        return ranked.filter(F.col("ix") < wanted).select("src", "dst", "ix")
+
+    # The wanted pairs are those of the smallest digests. If a share of the first round that
+    # the digests cut off has enough of them, the rest of the round can't matter.
+    share = _SPARE * wanted / (k * size) if size else 1.0
+    if share < 0.9:
+        few = materialize(free(0, number32(order[0]) < F.lit(int(share * 2**32))), "negatives")
+        if few.count() >= wanted:
+            return first(few)
+    found, count = None, 0
+    for number in range(most_rounds):
+        pairs = free(number)
         if found is not None:
-            free = free.join(found, ["src", "dst"], "left_anti")
-        fresh = materialize(free, "negatives")
+            pairs = pairs.join(found, ["src", "dst"], "left_anti")
+        fresh = materialize(pairs, "negatives")
         count += fresh.count()
         found = fresh if found is None else found.unionByName(fresh)
         if count >= wanted:
-            order = digest(f"{salt}-order", F.col("src"), F.col("dst"))
-            ranked = dense_index(found.withColumn("_h", order), ["_h", "src", "dst"])
-            return ranked.filter(F.col("ix") < wanted).select("src", "dst", "ix")
+            return first(found)
     raise ValueError(f"no {wanted} free pairs found in {most_rounds} rounds")
 
 
@@ -125,10 +145,11 @@ def split_negatives(splits: DataFrame, edges: DataFrame, nodes: Column | int, ra
                     k: int = 3, salt: str = "hard", name: str = "split") -> DataFrame:
     """``(src, dst, split)``: for each part of ``split_edges`` exactly
     ``round(ratio * edges of the part)`` negatives; no pair is in two parts."""
-    sizes = {r[name]: round(ratio * r["n"]) for r in splits.groupBy(name).agg(
+    counts = {r[name]: r["n"] for r in splits.groupBy(name).agg(
         F.count(F.lit(1)).alias("n")).collect()}  # one row per part
+    sizes = {part: round(ratio * n) for part, n in counts.items()}
     total = sum(sizes.values())
-    count = splits.count()
+    count = sum(counts.values())
     drawn = hard_negatives(splits, edges, nodes, total / count if count else 0.0, k, salt)
     label, bound = F.lit(None).cast("string"), total
     for part in sorted(sizes, reverse=True):
