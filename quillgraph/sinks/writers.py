@@ -119,10 +119,26 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(location).getLength())
 
 
+_RUN = 4_096  # rows that stay together when rows are dealt out
+
+
+def dealt_out(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` in ``parts`` partitions of about equal size, in runs that keep their order."""
+    at = F.monotonically_increasing_id()
+    dealt = df.withColumn("_at", at).repartitionById(
+        parts, F.pmod(F.floor(F.col("_at") / _RUN), F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("_at").drop("_at")
+
+
 def codec_profile(df: DataFrame, levels: Iterable[int] = range(1, 23),
                   repeats: int = 1) -> DataFrame:
-    """Mean bytes and nanoseconds of a zstd write per level."""
+    """Mean bytes and nanoseconds of a zstd write per level.
+
+    Compression takes nearly all the time, so the rows are dealt out once over files that
+    keep all cores busy at every level, whatever the files they came from.
+    """
     spark = df.sparkSession
+    df = materialize(dealt_out(df, 2 * spark.sparkContext.defaultParallelism), "profiled")
     rows = []
     for level in levels:
         for _ in range(repeats):
