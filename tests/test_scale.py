@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillgraph.operators import graph, linkpred, ordering, sampling
+from quillgraph.operators.skew import groups_of_size
 from quillgraph.sinks import writers
 
 
@@ -34,6 +35,23 @@ def test_pairs_are_counted_in_as_many_parts_as_asked_for(spark, rows):
     assert rows(graph.symmetric_edges(edges, parts=37)) == rows(graph.symmetric_edges(edges))
 
 
+def test_cut_groups_are_handed_on_in_as_many_parts_as_asked_for(spark, rows):
+    df = spark.range(5_000).select(F.when(F.col("id") < 2_000, 0).otherwise(F.col("id") % 900).alias("work"),
+                                   F.col("id").alias("author"))
+    many = groups_of_size(df, "work", ["author"], 2, 5, parts=23)
+    assert many.rdd.getNumPartitions() == 23 and rows(many) == rows(groups_of_size(df, "work", ["author"], 2, 5))
+    text = many._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and "HashAggregate" not in text
+
+
+def test_equal_rows_are_dropped_without_hash_tables(spark, rows):
+    df = spark.createDataFrame([(w, a, 4) for w in range(6) for a in ("x", "y", "x", None, None)],
+                               "work int, author string, team_size int")
+    edges = graph.bipartite_edges(df, dedup=True)
+    assert rows(edges) == sorted([(a, w) for w in range(6) for a in ("x", "y", None)], key=repr)
+    assert "HashAggregate" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_training_rows_are_one_row_a_part(spark):
     rng = np.random.default_rng(1)
     pairs = spark.createDataFrame([(i, v.tolist(), [1.0, 2.0], i % 2) for i, v in enumerate(rng.normal(size=(500, 2)))],
