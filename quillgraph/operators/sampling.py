@@ -165,20 +165,23 @@ def labelled(positives: DataFrame, negatives: DataFrame, label: str = "label") -
 
 
 def neighbor_sample(edges: DataFrame, seeds: DataFrame, fanout: Sequence[int] = (10, 10),
-                    salt: str = "hop") -> DataFrame:
+                    salt: str = "hop", parts: int | None = None) -> DataFrame:
     """Sampled subgraph ``(hop, src, dst)``: up to ``fanout[h]`` neighbours per node.
 
     ``edges`` hold both directions; ``seeds`` has one column ``node``. Only edges of the
     frontier are ranked, and the rank filter lets Spark cut each node's list on the map
     side, so a hub sends only a few rows to its task. Each hop is written out, since the
-    next one starts from it.
+    next one starts from it. With ``parts``, edges are dealt out by source in so many
+    partitions instead and ranked there: for very many edges, whose nodes have far fewer
+    each than a task takes rows; neither digests nor rows ranked in several tasks move.
     """
     frontier = seeds.select("node").distinct()
     hops = None
     for hop, limit in enumerate(fanout, start=1):
         order = Window.partitionBy("src").orderBy(
             digest(f"{salt}{hop}", F.col("src"), F.col("dst")), "dst")
-        near = edges.select("src", "dst").join(
+        ends = edges.select("src", "dst")
+        near = (ends if parts is None else ends.repartition(parts, "src")).join(
             as_build_side(frontier), F.col("src") == F.col("node"), "left_semi")
         rows = near.withColumn("_rank", F.row_number().over(order)).filter(
             F.col("_rank") <= limit).select(F.lit(hop).alias("hop"), "src", "dst")

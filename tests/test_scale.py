@@ -52,6 +52,19 @@ def test_equal_rows_are_dropped_without_hash_tables(spark, rows):
     assert "HashAggregate" not in edges._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranks_of_neighbours_move_no_digests(spark, rows):
+    edges = graph.symmetric_edges(spark.range(4_000).select(
+        (F.col("id") % 90).alias("src"), (F.col("id") * 7 % 110).alias("dst")))
+    seeds = spark.range(60).withColumnRenamed("id", "node")
+    one = sampling.neighbor_sample(edges, seeds, (4,), parts=11)
+    assert rows(one) == rows(sampling.neighbor_sample(edges, seeds, (4,)))
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in text and text.index("Window") < text.index("REPARTITION_BY_NUM")
+    assert one.rdd.getNumPartitions() == 11
+    both = [rows(sampling.neighbor_sample(edges, seeds, (3, 2), parts=p)) for p in (None, 5)]
+    assert both[0] == both[1]
+
+
 def test_training_rows_are_one_row_a_part(spark):
     rng = np.random.default_rng(1)
     pairs = spark.createDataFrame([(i, v.tolist(), [1.0, 2.0], i % 2) for i, v in enumerate(rng.normal(size=(500, 2)))],
