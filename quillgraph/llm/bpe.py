@@ -17,7 +17,7 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ class BatchCache(dict):
         super().__init__()
         self.make_all, self.most = make_all, most
 
-    def need(self, words: set[str]) -> None:
+    def need(self, words: Collection[str]) -> None:
         if len(self) > self.most:
             self.clear()
         new = [w for w in words if w not in self]

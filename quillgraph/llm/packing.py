@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ CAPACITY = 2048
 END_ID = 0
 CACHED_WORDS = 600_000  # of about 200 bytes each, while a task runs
 _MARKS = frozenset(".,;:!?")
-BATCH_BYTES = 2 << 20
+_TOGETHER = 2_000  # pieces in one call of the library
+BATCH_BYTES = 8 << 20
 
 
 # --- ids of the tokenizers library, with caches by word --------------------------------
@@ -44,7 +46,8 @@ class WordEncoder:
 
     A text is cut there and each different word is encoded by the library once (per
     cache). Words of plain Latin letters are first cut as the tokenizer's own pattern
-    cuts them, so that a word with and without a comma is encoded once.
+    cuts them, so that a word with and without a comma is encoded once; in a text of
+    plain letters alone, before its words are told apart.
     """
 
     # Fixed value: the split pattern stated in the tokenizer's file.
@@ -52,6 +55,8 @@ class WordEncoder:
     # Characters below U+0250 but one are lowered one by one and composed already; words
     # with the bracket may hold special tokens.
     _PLAIN = re.compile("[^<İɐ-\U0010ffff]*\\Z")
+    # A mark before a space that may be part of a longer piece: it is behind another sign.
+    _RUN_OF_SIGNS = re.compile("[^ 0-9a-zß-öø-ÿ][.,;:!?] ")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -64,8 +69,8 @@ class WordEncoder:
     def _together(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces: one call of the library for many, with a space between."""
         out: list[bytes] = []
-        for low in range(0, len(pieces), 10_000):
-            part = pieces[low:low + 10_000]
+        for low in range(0, len(pieces), _TOGETHER):
+            part = pieces[low:low + _TOGETHER]
             found = self.library.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
             ends = np.searchsorted(np.array(found.word_ids), np.arange(len(part)), "right") * 4
@@ -100,10 +105,31 @@ class WordEncoder:
     def _library(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _spaced(self, text: str) -> str:
+        """The text with spaces for line ends; of a plain one in lower case, and with a
+        space before the marks that end words, as these are pieces of their own."""
+        text = text.replace("\n", " ")
+        if self._PLAIN.match(text):
+            text = text.lower()
+            if not self._RUN_OF_SIGNS.search(text):
+                for mark in _MARKS:
+                    text = text.replace(mark + " ", f" {mark} ")
+        return text
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        self.words.need(set().union(*cut))
-        return [b"".join(map(self.words.__getitem__, words)) for words in cut]
+        cut = pc.split_pattern(pa.array(map(self._spaced, texts), pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.words.need(words)
+        found = [self.words[w] for w in words]
+        # The ids of all words in a row, by the number of each word.
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes[which])])
+        at = np.repeat(first[which] - ends[:-1], np.diff(ends)) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        bounds = 4 * ends[cut.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

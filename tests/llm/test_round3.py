@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import frequent, html, lexical, lines, queries, rules, toxicity, turns
+from quillgraph.llm import frequent, html, lexical, lines, packing, queries, rules, toxicity, turns
 
 SF = "/root/testdata/sf0.001"
 
@@ -583,3 +583,15 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         assert [o for o, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:k]) for k in range(len(places))]
         assert sum(n for _, n in places) <= 2048
     assert len(full) <= 1 + -(-sum(n for *_, n, _ in pieces) // 2048)
+
+
+def test_words_of_plain_texts_are_told_apart_without_case_and_marks():
+    own = packing.WordEncoder(queries.tokenizer("word_bpe_49k.json"))
+    texts = ["Foo, foo Foo. FOO! foo\nfoo; end", "Hi). there!? x_. y 5. ½: É, a.\tb. ", "<b>, İ. Ab. ", ""]
+    for text, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.library.encode(
+            text, add_special_tokens=False).ids
+    own.forget()
+    own.encode_all(texts[:1])
+    assert {w for w in own.words if w.isalpha()} == {"foo", "end"}
+    assert not [w for w in own.words if len(w) > 1 and not w.isalpha()]
