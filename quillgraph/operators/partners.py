@@ -5,7 +5,8 @@ bounds an inner product, so once a target has k partners, blocks whose largest n
 the target's own stays below the k-th score can't change its answer, nor can any block
 after them. Blocks are therefore taken in rounds of doubling size; in each, only targets
 that a block can still serve meet it, as one matrix product of a block of targets and a
-block of nodes. Known partners are taken out inside the product.
+block of nodes. Known partners are taken out inside the product; a filter of the targets
+leaves out other edges before these are shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import vectors as V
 from quillgraph.operators.ordering import dense_index
-from quillgraph.operators.skew import as_build_side
+from quillgraph.operators.skew import as_build_side, is_small, may_hold
 from quillgraph.session import materialize
 
 # Nodes travel once for each block of targets, targets once for each block of nodes.
@@ -90,14 +91,19 @@ def top_partners(nodes: DataFrame, edges: DataFrame, targets: DataFrame, k: int
         [F.desc("norm"), F.col("node")], "at", "norm-order")
     ranked = materialize(ranked.withColumn("block", F.floor(F.col("at") / block).cast("int")), "ranked")
     wanted = targets.select(F.col("node").alias("target")).distinct()
-    count = max(1, -(-wanted.count() // target_block))
+    asking = wanted.count()
+    count = max(1, -(-asking // target_block))
     own = materialize(
         wanted.join(ranked, F.col("target") == F.col("node")).select(
             "target", "features", "norm",
             F.pmod(F.xxhash64("target"), F.lit(count)).cast("int").alias("part")), "targets")
     either = edges.select(F.col("src").alias("target"), F.col("dst").alias("node")).unionByName(
         edges.select(F.col("dst").alias("target"), F.col("src").alias("node")))
-    near = either.join(as_build_side(own.select("target", "part")), "target").distinct()
+    part_of = own.select("target", "part")
+    if not is_small(part_of) and either.schema["target"].dataType == own.schema["target"].dataType:
+        # Only edges of targets are shuffled, not all edges in both directions.
+        either = either.filter(may_hold(part_of, "target", asking)(F.col("target")))
+    near = either.join(as_build_side(part_of), "target").distinct()
     known = materialize(near.join(ranked.select("node", "block"), "node").select(
         "target", "part", "block", F.col("node").alias("known")), "known")
     last = ranked.agg(F.max("block")).first()[0]

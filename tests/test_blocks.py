@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import blocks, linkpred
+from quillgraph.operators import blocks, linkpred, partners, skew
 
 
 @pytest.fixture
@@ -76,3 +76,46 @@ def test_pairs_and_vectors_are_not_joined_one_by_one(spark, joins_of_tables):
     pairs = spark.createDataFrame([(0, 0)], "src int, dst int")
     plan = linkpred.gather(pairs, nodes)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_filter_of_keys_holds_for_all_of_them_and_few_others(spark):
+    keys = spark.range(0, 200_000, 20).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    holds = skew.may_hold(keys, "id", 10_000)
+    found = spark.range(200_000).union(spark.sql("SELECT CAST(NULL AS BIGINT)")).filter(holds(F.col("id")))
+    assert found.filter("id % 20 = 0").count() == 10_000 and found.filter("id IS NULL").count() == 0
+    assert found.count() < 16_000
+    none = skew.may_hold(keys.limit(0), "id", 0)
+    assert spark.range(1_000).filter(none(F.col("id"))).count() == 0
+
+
+def test_partners_with_more_targets_than_are_broadcast(spark, rows):
+    rng = np.random.default_rng(5)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))],
+                                  "node long, features array<double>")
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (150, 2))],
+                                  "src long, dst long")
+    targets = spark.range(0, 60, 3).withColumnRenamed("id", "node")
+    want = rows(partners.top_partners(nodes, edges, targets, 3))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(partners.top_partners(nodes, edges, targets, 3)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_layer_sends_vectors_as_short_as_its_weights_make_them(spark, monkeypatch):
+    sent = []
+    added = linkpred.neighbour_vectors
+    monkeypatch.setattr(linkpred, "neighbour_vectors",
+                        lambda e, n, width, *a, **k: sent.append(width) or added(e, n, width, *a, **k))
+    rng = np.random.default_rng(6)
+    x, weight, bias = rng.normal(size=(5, 8)), rng.normal(size=(2, 8)), np.array([0.5, -0.5])
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, features array<double>")
+    edges = spark.createDataFrame([(0, 1), (2, 1), (3, 1), (1, 0)], "src long, dst long")
+    made = linkpred.sage_layer(edges, nodes, 8, own_weight=weight, hood_weight=weight, bias=bias, activate=False)
+    got = {r.node: np.array(r.features) for r in made.collect()}
+    mean = np.array([x[1], x[[0, 2, 3]].mean(0), *np.zeros((3, 8))])
+    assert sent == [2]
+    for i in range(5):
+        np.testing.assert_allclose(got[i], weight @ x[i] + weight @ mean[i] + bias)
