@@ -6,7 +6,7 @@ import math
 import time
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.operators.graph import graph_edges, graph_nodes
@@ -44,15 +44,22 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
                          F.col("length").alias("bytes"))
 
 
+# Files that one task writes, where equally many rows fill them, and how many more files than
+# the bytes need are few enough for that.
+TASK_FILES, SPARE_FILES = 64, 1.25
+
+
 def write_bounded(df: DataFrame, target: str, max_bytes: int, *, codec: str | None = None,
                   zstd_level: int | None = None, fill: float = 0.95, attempts: int = 6) -> int:
     """Parquet files of at most ``max_bytes`` bytes as stored; returns how many.
 
     A first write below the work folder shows how many bytes the rows of each of its files
-    take. A running sum of these gives every row its place in the whole, and the place its
-    file, so each output partition is one file of about ``fill`` of the bound. Should one
-    still be larger (rows of one file differ), the files are cut again, smaller. Rows keep
-    their order. A single row above the bound is an error.
+    take, and running sums give every row its place in the whole. Files get equally many rows
+    first, ``TASK_FILES`` of them from each task, fewer rows as long as one is too large. If
+    rows differ so much that this takes ``SPARE_FILES`` times the files that the bytes need,
+    files are cut by bytes: each output partition is one file of about ``fill`` of the bound,
+    cut again, smaller, should one still be larger. Rows keep their order. A single row above
+    the bound is an error.
     """
     spark = df.sparkSession
     first = new_path(spark, "sized")
@@ -61,24 +68,46 @@ def write_bounded(df: DataFrame, target: str, max_bytes: int, *, codec: str | No
     counted = rows.groupBy(F.col("_metadata.file_name").alias("name")).agg(
         F.count(F.lit(1)).alias("rows"))
     sizes = counted.join(as_build_side(file_sizes(spark, first)), "name")
-    placed = running_sum(sizes, ["name"], ["bytes"], "file-places").select(
+    placed = running_sum(sizes, ["name"], ["bytes", "rows"], "file-places").select(
         "name", (F.col("cum_bytes") - F.col("bytes")).alias("_before"),
+        (F.col("cum_rows") - F.col("rows")).alias("_first"),
         (F.col("bytes") / F.col("rows")).alias("_each"))
     placed = materialize(placed, "file-places")
-    total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    total, count, each = sizes.agg(
+        F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)),
+        F.coalesce(F.max(F.col("bytes") / F.col("rows")), F.lit(0.0))).first()
     at = rows.select("*", F.col("_metadata.file_name").alias("name"),
                      F.col("_metadata.row_index").alias("_row"))
-    at = at.join(as_build_side(placed), "name").withColumn(
-        "_at", F.col("_before") + F.col("_row") * F.col("_each"))
+    at = at.join(as_build_side(placed), "name")
+
+    def written(parts: int, part: Column, rows_per_file: int | None = None) -> tuple[int, int, int]:
+        """Files, bytes and the largest file of a write in ``parts`` tasks."""
+        out = at.repartitionById(parts, F.least(F.floor(part), F.lit(parts - 1)).cast("int"))
+        write_parquet(out.sortWithinPartitions("_first", "_row").select(*df.columns), target,
+                      codec=codec, zstd_level=zstd_level, rows_per_file=rows_per_file)
+        return file_sizes(spark, target).agg(F.count(F.lit(1)), *[
+            F.coalesce(f("bytes"), F.lit(0)) for f in (F.sum, F.max)]).first()
+
+    per_file = max(1, int(max_bytes * fill / each)) if each else 1
     for _ in range(attempts):
-        files = max(1, math.ceil(total / (max_bytes * fill)))
-        part = F.least(F.floor(F.col("_at") / F.lit(max_bytes * fill)), F.lit(files - 1))
-        out = at.repartitionById(files, part.cast("int")).sortWithinPartitions("_before", "_row")
-        write_parquet(out.select(*df.columns), target, codec=codec, zstd_level=zstd_level)
-        written, largest = file_sizes(spark, target).agg(
-            F.count(F.lit(1)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+        together = min(TASK_FILES, max(1, math.ceil(
+            count / per_file / spark.sparkContext.defaultParallelism))) * per_file
+        files, stored, largest = written(max(1, math.ceil(count / together)),
+                                         (F.col("_first") + F.col("_row")) / together, per_file)
+        if largest <= max_bytes:
+            if files <= SPARE_FILES * math.ceil(stored / (max_bytes * fill)):
+                return files
+            break
+        if per_file == 1 or not count:
+            break
+        per_file = max(1, int(per_file * fill * max_bytes / largest))
+    place = F.col("_before") + F.col("_row") * F.col("_each")
+    fill *= min(1.0, total / max(stored, 1))  # small files take more bytes than the first ones
+    for _ in range(attempts if largest <= max_bytes or per_file > 1 else 0):
+        bound = F.lit(max_bytes * fill)
+        files, _, largest = written(max(1, math.ceil(total / (max_bytes * fill))), place / bound)
         if largest <= max_bytes:
-            return written
+            return files
         fill *= 0.95 * max_bytes / largest
     raise ValueError(f"files of at most {max_bytes} bytes can't hold these rows: {largest} needed")
 

@@ -141,6 +141,24 @@ def test_files_stay_below_the_bound(spark, tmp_path, bound):
     assert all(high - low + 1 == n for _, low, high, n in firsts.collect())  # rows keep their order
 
 
+def test_a_task_writes_many_files_of_alike_rows(spark, tmp_path, monkeypatch):
+    asked = []
+    real = writers.write_parquet
+    monkeypatch.setattr(writers, "write_parquet", lambda df, target, **k: asked.append(
+        df.rdd.getNumPartitions()) or real(df, target, **k))
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdef", k=60))) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, text string").repartitionByRange(3, "id").sortWithinPartitions("id")
+    files = writers.write_bounded(df, str(tmp_path / "out"), 6_000, codec="snappy")
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{tmp_path}/out/*.parquet")]
+    assert len(sizes) == files > 100 and max(sizes) <= 6_000 and files <= 1.3 * sum(sizes) / 6_000
+    assert max(asked) < files / 4
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == rows
+    firsts = back.groupBy(F.input_file_name().alias("f")).agg(F.min("id"), F.max("id"), F.count("id"))
+    assert all(high - low + 1 == n for _, low, high, n in firsts.collect())
+
+
 def test_a_row_above_the_bound_is_an_error(spark, tmp_path):
     df = spark.createDataFrame([(os.urandom(9_000).hex(),)] * 3, "text string")
     with pytest.raises(ValueError, match="at most 2000 bytes"):
