@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.hashing import below, digest, number32, number60, uniform32
+from quillgraph.functions.hashing import below, digest, number60, uniform32
 from quillgraph.operators.ordering import dense_index
-from quillgraph.operators.skew import as_build_side
+from quillgraph.operators.skew import as_build_side, parts_of
 from quillgraph.session import materialize
 
 
@@ -102,19 +102,25 @@ def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int,
     ranges, no single task); where most of the first round would be cut, before it is
     shuffled. Pairs found before are only looked up, not drawn or joined again.
     ``edges`` hold each unordered pair with ``src <= dst``, see ``undirected_edges``.
+    Positives are dealt out for drawing, and pairs for the lookup, in partitions by their
+    number, so that a task stays small and all cores are busy to the end.
     Fails if the graph has too few free pairs to find them in ``most_rounds``.
     """
     size = positives.count()
     wanted = round(ratio * size)
     order = [digest(f"{salt}-order", F.col("src"), F.col("dst")), F.col("src"), F.col("dst")]
+    parts = parts_of(k * size, positives)
+    dealt = positives.select("src", "dst").repartition(parts, "src", "dst")
+    there = edges.select("src", "dst").repartition(parts, "src", "dst")
 
     def free(number: int, below: Column | None = None) -> DataFrame:
-        drawn = random_negatives(positives, nodes, k, salt, first=number * k + 1)
+        drawn = random_negatives(dealt, nodes, k, salt, first=number * k + 1)
         pairs = (drawn.select(F.least("src", "dst").alias("src"),
                               F.greatest("src", "dst").alias("dst"))
                  .filter(F.col("src") != F.col("dst")))
         pairs = pairs if below is None else pairs.filter(below)
-        return pairs.distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        pairs = pairs.repartition(parts, "src", "dst").distinct()
+        return pairs.join(there.hint("merge"), ["src", "dst"], "left_anti")
 
     def first(found: DataFrame) -> DataFrame:
         # Ordered by an expression: the digests are not shuffled or written.
@@ -125,7 +131,8 @@ def hard_negatives(positives: DataFrame, edges: DataFrame, nodes: Column | int,
     # the digests cut off has enough of them, the rest of the round can't matter.
     share = _SPARE * wanted / (k * size) if size else 1.0
     if share < 0.9:
-        few = materialize(free(0, number32(order[0]) < F.lit(int(share * 2**32))), "negatives")
+        # Hex digits are compared as they are, which takes less than their number.
+        few = materialize(free(0, order[0] < F.lit(f"{int(share * 2**32):08x}")), "negatives")
         if few.count() >= wanted:
             return first(few)
     found, count = None, 0

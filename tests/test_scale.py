@@ -82,3 +82,16 @@ def test_rows_of_one_file_are_dealt_out(spark):
     assert len(parts) == 8 and sorted(i for p in parts for i in p) == list(range(100_000))
     assert all(p == sorted(p) for p in parts) and max(map(len, parts)) < 2 * 100_000 / 8
     assert dealt.columns == df.columns
+
+
+def test_negatives_are_drawn_in_parts_by_their_number(spark, monkeypatch):
+    edges = spark.range(600).select(F.col("id").alias("src"), (F.col("id") + 1 + F.col("id") % 7).alias("dst"))
+    seen, plain = [], sampling.random_negatives
+    monkeypatch.setattr(sampling, "random_negatives", lambda positives, *a, **k: seen.append(
+        positives.rdd.getNumPartitions()) or plain(positives, *a, **k))
+    want = sorted(sampling.hard_negatives(edges, edges, 5_000).collect())
+    one = edges.coalesce(1)
+    assert sorted(sampling.hard_negatives(one, one, 5_000).collect()) == want
+    assert min(seen) >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(sampling, "parts_of", lambda rows, df: 37)
+    assert sorted(sampling.hard_negatives(one, one, 5_000).collect()) == want and seen[-1] == 37
