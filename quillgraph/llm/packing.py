@@ -36,7 +36,7 @@ END_ID = 0
 CACHED_WORDS = 600_000  # of about 200 bytes each, while a task runs
 _MARKS = frozenset(".,;:!?")
 _TOGETHER = 2_000  # pieces in one call of the library
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20  # with 8 MB a worker holds a third more and takes no less time
 
 
 # --- ids of the tokenizers library, with caches by word --------------------------------
