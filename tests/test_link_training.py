@@ -54,3 +54,27 @@ def test_cells_hold_each_pair_with_both_vectors_once(spark, graph):
     found = sorted((*np.round(x, 9), y, bool(h)) for batch in cells.toArrow().to_batches()
                    for part in cell_products(batch, 7) for x, y, h in zip(*part, strict=True))
     assert found == want
+
+
+def test_newton_on_cells_equals_newton_on_rows_on_every_partitioning(spark, graph):
+    """link_model_test trains on cells; before, a vector was written and shuffled for every pair."""
+    pairs, nodes = graph
+    validate = F.pmod(F.xxhash64("src", "dst"), F.lit(10)) == 0
+    rows = L.newton_rows(L.gather(pairs.filter(~validate), nodes), ["src", "dst"])
+    want = L.train_newton(rows, ["src", "dst"], WIDTH, 100.0, rounds=2)
+    cells = [L.training_cells(some, nodes, held=validate) for some in (pairs, pairs.repartition(5))]
+    made = [L.train_newton(some, [], WIDTH, 100.0, rounds=2) for some in cells]
+    assert np.allclose(made[0], want, rtol=1e-7, atol=1e-9) and (made[0] == made[1]).all()
+    weights, area = L.best_newton(cells[0], None, [], WIDTH, (1.0,))
+    assert len(weights) == WIDTH + 1 and 0.5 < area <= 1
+
+
+def test_what_was_shuffled_for_a_table_is_given_back(spark):
+    def files():
+        every = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for name in every.getAllFiles().mkString(" ").split() if name.endswith(".data")}
+
+    before = files()
+    kept = materialize(spark.range(100_000).repartition(3, "id"), "kept")
+    assert not files() - before
+    assert kept.groupBy((F.col("id") % 7).alias("k")).count().count() == 7 and kept.count() == 100_000
